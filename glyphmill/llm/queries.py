@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import bpe, canon, distinctive, termfreq
+from glyphmill.llm import bpe, canon, distinctive, leakage, sentences, termfreq
 from glyphmill.operators.tables import read_table
 
 FIELDS = ["title", "body"]
@@ -47,4 +47,22 @@ def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(p6_ids(spark, sf_dir), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_scores, p3_found, p3_canonical, p4_found, p4_frequencies, p6_ids, p6_decoded)}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items")
+    return leakage.leaked(documents, "doc_id", "text", items, "item_id", "text", "lang").select("doc_id", "item_id")
+
+
+def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items")
+    return leakage.leaked(documents, "doc_id", "text", items, "item_id", "text", "lang", max_edits=1)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_units(read_table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "end_pos")
+
+
+def p8_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_units(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_scores, p3_found, p3_canonical, p4_found, p4_frequencies, p6_ids, p6_decoded, p7_found, p7_near, p8_found, p8_units)}
