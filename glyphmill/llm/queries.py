@@ -5,12 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import bpe, canon, distinctive, leakage, sentences, termfreq
+from glyphmill.llm import bpe, canon, distinctive, leakage, neardup, sentences, termfreq
 from glyphmill.operators.tables import read_table
 
 FIELDS = ["title", "body"]
 
 
+#: The terms of problem 1: pieces of four characters, a similarity of 0.6, at least 80 letters and digits in the body.
+ALIKE = {"id_col": "doc_id", "main": "body", "others": ["title"], "similarity": 0.6, "piece": 4, "least": 80}
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.similar_pairs(read_table(spark, sf_dir, "search_index"), **ALIKE)
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(read_table(spark, sf_dir, "search_index"), **ALIKE)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = distinctive.distinctiveness(read_table(spark, sf_dir, "search_index"), "doc_id", FIELDS)
     return scored.where((F.col("tf") >= 3) & F.col("records").between(2, 5)).select("doc_id", "term")
@@ -65,4 +77,4 @@ def p8_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_scores, p3_found, p3_canonical, p4_found, p4_frequencies, p6_ids, p6_decoded, p7_found, p7_near, p8_found, p8_units)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_scores, p3_found, p3_canonical, p4_found, p4_frequencies, p6_ids, p6_decoded, p7_found, p7_near, p8_found, p8_units)}
