@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import bpe, canon, distinctive, leakage, neardup, sentences, termfreq
+from glyphmill.llm import bpe, canon, distinctive, leakage, markup, neardup, sentences, termfreq
 from glyphmill.operators.tables import read_table
 
 FIELDS = ["title", "body"]
@@ -51,6 +51,14 @@ def p4_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return termfreq.usefulness(read_table(spark, sf_dir, "search_index"), "doc_id", FIELDS).select("term", "occurrences", "records", "verdict")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.clean_bodies(read_table(spark, sf_dir, "search_index"), "doc_id", "body").select("doc_id", F.explode("kinds").alias("kind"))
+
+
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.clean_bodies(read_table(spark, sf_dir, "search_index"), "doc_id", "body").select("doc_id", "text")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -77,4 +85,4 @@ def p8_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_scores, p3_found, p3_canonical, p4_found, p4_frequencies, p6_ids, p6_decoded, p7_found, p7_near, p8_found, p8_units)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_scores, p3_found, p3_canonical, p4_found, p4_frequencies, p5_found, p5_clean, p6_ids, p6_decoded, p7_found, p7_near, p8_found, p8_units)}
