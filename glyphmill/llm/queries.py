@@ -78,7 +78,7 @@ def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.sentence_units(read_table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "end_pos")
+    return sentences.sentence_units(read_table(spark, sf_dir, "documents"), "doc_id", "text", with_text=False).select("doc_id", "end_pos")
 
 
 def p8_units(spark: SparkSession, sf_dir: str) -> DataFrame:

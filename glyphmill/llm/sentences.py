@@ -50,6 +50,8 @@ TERMINATORS = ".!?…。！？．｡।॥؟۔"
 MASKS = "".join(chr(0xE0A0 + i) for i in range(len(TERMINATORS)))
 DOT = MASKS[0]
 PARAGRAPH, END, PLAIN, INTRODUCED = "\ue0e0", "\ue0e1", "\ue0e2", "\ue0e3"
+#: White space other than line separators that are turned into line feeds first.
+BLANK = " \t\r\n\x0b\f\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 SPACE = r" \t\r\n\x0B\f\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
 _GAP, _NO_BREAK = f"[{SPACE}{PARAGRAPH}]", r"[ \t\r\x0B\f\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
 _EDGE = r"(?<![\p{L}\p{N}\p{M}])"
@@ -61,39 +63,47 @@ def _any(words: str) -> str:
     return "|".join(sorted(dict.fromkeys(words.split()), key=len, reverse=True))
 
 
-#: Steps before quotations are looked at: (pattern, replacement), each one character for one.
+#: Alternatives behind which a full stop ends nothing, each read just behind the stop.
+_NO_END = [
+    f"(?<={_EDGE}(?:{_any(' '.join(ABBREVIATIONS.values()))})\\.)",
+    f"(?<={_EDGE}\\p{{Ll}}\\.)(?<![ap]\\.m\\.)(?<!\\p{{Nd}}[{SPACE}][{UNITS}]\\.)",
+    f"(?<={_EDGE}[\\p{{Lu}}\\p{{IsArabic}}]\\.)",
+    r"(?<=\p{Nd}\.)(?=[\p{Nd}\p{Ll}])|(?<!\p{L}{3}\.)(?=\p{Nd})|(?<!\p{IsHangul}\.)(?=\p{Ll})",
+    f"(?<=\\b\\p{{Nd}}{{1,2}}\\.)(?=[{SPACE}]+(?:{_any(MONTHS)})\\b)",
+    f"(?<=\\p{{Nd}}\\.)(?=[{SPACE}]+\\p{{Nd}}{{1,2}}\\.)|(?<=\\p{{Nd}}\\.[{SPACE}]{{1,3}}\\p{{Nd}}{{1,2}}\\.)",
+    r"(?<=\.\.)|(?=\.)",
+]
+
+#: Steps before quotations are looked at: (pattern, replacement), each one character for one but for END.
 MASKING = [
     (r"\r(?!\n)|[\x{85}\x{2028}\x{2029}]", "\n"),
     (f"\n(?={_NO_BREAK}*\n)", PARAGRAPH),
-    (f'(?<![^{SPACE}{PARAGRAPH}{OPENERS}—–-])"(?=\\S)', "\ue0d0"),
-    ('"', "\ue0d1"),
-    (f"(?<=[.!?…,\\p{{L}}\\p{{N}}])“(?![\\p{{L}}\\p{{N}}¿¡])", CLOSING),
-    (_EDGE + f"({_any(' '.join(ABBREVIATIONS.values()))})\\.", f"$1{DOT}"),
-    (_EDGE + f"(?<![ap][.{DOT}])(?!(?<=\\p{{Nd}}[{SPACE}])[{UNITS}])(\\p{{Ll}}|\\p{{IsArabic}})\\.", f"$1{DOT}"),
-    (_EDGE + r"(\p{Lu})\.", f"$1{DOT}"),
-    (r"(?<=[\p{Nd}])\.(?=[\p{Nd}\p{Ll}])|(?<![\p{L}]{3})\.(?=\p{Nd})|\.(?=\p{Ll})", DOT),
-    (r"(?<=\p{Nd})．(?=\p{Nd})", MASKS[TERMINATORS.index("．")]),
-    (f"(?<=\\b\\p{{Nd}}{{1,2}})\\.(?=[{SPACE}]+(?:{_any(MONTHS)})\\b)", DOT),
-    (f"(?<=\\p{{Nd}})\\.(?=[{SPACE}]+(?:\\p{{Nd}}{{1,3}}(?!\\p{{Nd}})|[\\p{{IsHangul}}\\p{{IsHan}}]))", DOT),
+    (f'"(?<![^{SPACE}{PARAGRAPH}{OPENERS}—–-]")(?=\\S)', STRAIGHT[0]),
+    (f"“(?<=[.!?…,\\p{{L}}\\p{{N}}]“)(?![\\p{{L}}\\p{{N}}¿¡])", CLOSING),
     (f"((?:\\.{{2,}}|…+)[{CLOSERS}]*)(?=[{SPACE}]+{_OPEN}\\p{{Lu}})", f"$1{END}"),
-    (r"(?<=\.)\.|\.(?=\.)", DOT),
+    (f"\\.(?:{'|'.join(_NO_END)})", DOT),
+    (r"．(?<=\p{Nd}．)(?=\p{Nd})", MASKS[TERMINATORS.index("．")]),
 ]
 
 _NEXT = r"[\p{Lu}\p{Lt}\p{Lo}\p{Nd}\p{Sc}\p{So}¿¡§№]"
 _CAPITAL = r"[\p{Lu}\p{Lt}\p{Nd}¿¡]"
+#: Ends of units: terminators of scripts without capitals; ! and ? before what can begin a sentence; a full stop before a
+#: space and such a beginning, or right before one if a word stands before it, or behind Hangul before any space.
+_ENDS = [
+    f"[。！？．｡।॥؟۔]+[!?]*[{CLOSERS}]*",
+    f"[!?]+[{CLOSERS}]*(?=[{SPACE}]+{_OPEN}[^\\p{{Ll}}\\p{{P}}{SPACE}]|[{SPACE}]+[{OPENERS}¿¡]+|{_OPEN}[\\p{{Lu}}\\p{{Lo}}])",
+    f"\\.[{CLOSERS}]*(?=[{SPACE}]+{_OPEN}{_NEXT})",
+    f"\\.(?<=(?:[\\p{{L}}\\p{{M}}]{{2}}|[\\p{{Lo}}\\p{{M}}\\p{{Nd}}])\\.)[{CLOSERS}]*(?={_OPEN}[\\p{{Lu}}\\p{{Lo}}])",
+    r"\.(?<=\p{L}{3}\.)(?=\p{Nd})",
+    f"\\.(?<=\\p{{IsHangul}}[{CLOSERS}]?\\.)[{CLOSERS}]*(?=[{SPACE}]*\\p{{Ll}})",
+]
 #: Steps that put END behind each unit, after quotations have been masked.
 SPLITTING = [
-    (f"([。！？．｡।॥؟۔]+[!?]*[{CLOSERS}]*)", f"$1{END}"),
-    (f"([!?]+[{CLOSERS}]*)(?=[{SPACE}]+{_OPEN}[^\\p{{Ll}}\\p{{P}}{SPACE}]|[{SPACE}]+[{OPENERS}¿¡]+|{_OPEN}[\\p{{Lu}}\\p{{Lo}}])", f"$1{END}"),
-    (f"(\\.[{CLOSERS}]*)(?=[{SPACE}]+{_OPEN}{_NEXT})", f"$1{END}"),
-    (f"(?<=[\\p{{L}}\\p{{M}}]{{2}}|[\\p{{Lo}}\\p{{M}}\\p{{Nd}}])(\\.[{CLOSERS}]*)(?={_OPEN}[\\p{{Lu}}\\p{{Lo}}])", f"$1{END}"),
-    (r"(?<=\p{L}{3})\.(?=\p{Nd})", f".{END}"),
-    (f"{PLAIN}(?=[{SPACE}]+{_OPEN}{_CAPITAL})", END),
-    (f"{INTRODUCED}(?![{SPACE}]*(?:[\\p{{Ll}},;:.،，、；—–]|と|って|라|하고|고[{SPACE}]|{END}))", END),
-    (f"[{PLAIN}{INTRODUCED}]", ""),
-    (f"(?<=[\\p{{IsThai}}{CLOSERS}])(?=[{SPACE}]+{_OPEN}\\p{{IsThai}})(?<!\\p{{Nd}})", END),
-    (f"({PARAGRAPH})", f"{END}$1"),
+    (f"({'|'.join(_ENDS)})", f"$1{END}"),
+    (f"{PLAIN}(?=[{SPACE}]+{_OPEN}{_CAPITAL})|{INTRODUCED}(?![{SPACE}]*(?:[\\p{{Ll}},;:.،，、；—–]|と|って|라|하고|고[{SPACE}]|{END}))", END),
 ]
+#: In Thai a space with no digit beside it ends a unit.
+THAI = (f"([\\p{{IsThai}}{CLOSERS}](?<!\\p{{Nd}}))(?=[{SPACE}]+{_OPEN}\\p{{IsThai}}(?<!\\p{{Nd}}))", f"$1{END}")
 
 
 def _apply(col: Column, steps: list[tuple[str, str]]) -> Column:
@@ -112,33 +122,42 @@ def _mask_quoted(col: Column) -> Column:
         note = F.when(inner.rlike(f"[{MASKS}]{_GAP}?[{CLOSERS}]$"), F.when(piece.rlike(r"^[:：,،，]"), F.lit(INTRODUCED)).otherwise(F.lit(PLAIN))).otherwise(F.lit(""))
         return F.when((F.length(piece) > 2) & piece.rlike(f"(?s)^{_INTRO}[{OPENERS}].*[{CLOSERS}]$"), F.concat(inner, note)).otherwise(piece)
 
-    return F.array_join(F.transform(pieces, mask), "")
+    return F.when(col.rlike(f"[{OPENERS}]"), F.array_join(F.transform(pieces, mask), "")).otherwise(col)
+
+
+def _marked(rest: Column) -> Column:
+    """What follows the title, with END behind each unit."""
+    masked = F.translate(_apply(rest, MASKING), '"', STRAIGHT[1])
+    split = let(masked, lambda m: F.translate(_apply(_mask_quoted(m), SPLITTING), PLAIN + INTRODUCED, ""))
+    split = let(split, lambda x: F.when(x.rlike(r"\p{IsThai}"), F.regexp_replace(x, *THAI)).otherwise(x))
+    return F.replace(split, F.lit(PARAGRAPH), F.lit(END + PARAGRAPH))
 
 
 def _restore(col: Column) -> Column:
     return F.translate(col, MASKS + PARAGRAPH + STRAIGHT + CLOSING, TERMINATORS + '\n""“')
 
 
-def _units(title: Column, rest: Column) -> Column:
+def _units(title: Column, rest: Column, with_text: bool) -> Column:
     """array<struct<end_pos, unit>> of a title part and what follows it."""
-    marked = _apply(_mask_quoted(_apply(rest, MASKING)), SPLITTING)
-    pieces = F.concat(F.array(title), F.split(marked, END, -1))
-    trim = lambda x: F.regexp_replace(x, f"^{_GAP}+|{_GAP}+$", "")
+    pieces = F.concat(F.array(title), F.split(_marked(rest), END, -1))
+    blank = F.lit(BLANK + PARAGRAPH)
     start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<end_pos:bigint,unit:string>>").alias("units"))
 
     def step(acc: Column, piece: Column) -> Column:
-        kept = F.regexp_replace(piece, f"{_GAP}+$", "")
-        unit = F.struct((acc["pos"] + F.length(kept)).cast("bigint").alias("end_pos"), _restore(trim(kept)).alias("unit"))
+        kept = F.rtrim(piece, blank)
+        text = _restore(F.ltrim(kept, blank)) if with_text else F.lit(None).cast("string")
+        unit = F.struct((acc["pos"] + F.length(kept)).cast("bigint").alias("end_pos"), text.alias("unit"))
         units = F.when(F.length(kept) > 0, F.concat(acc["units"], F.array(unit))).otherwise(acc["units"])
         return F.struct((acc["pos"] + F.length(piece)).alias("pos"), units.alias("units"))
 
     return F.aggregate(pieces, start, step, lambda acc: acc["units"])
 
 
-def sentence_units(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id_col, unit_no (from 0), end_pos (code points from the start of the text through the unit's last character) and unit."""
+def sentence_units(df: DataFrame, id_col: str, text_col: str, with_text: bool = True) -> DataFrame:
+    """id_col, unit_no (from 0), end_pos (code points from the start of the text through the unit's last character) and, if wanted, unit."""
     text = F.col("text")
     head = F.regexp_extract(text, f"^[{SPACE}]*[^\r\n\\x{{85}}\\x{{2028}}\\x{{2029}}]*", 0)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(text.rlike(f"[^{SPACE}]"))
-    split = let(head, lambda h: _units(h, F.substring(text, F.length(h) + 1, F.length(text))))
-    return rows.select("id", F.posexplode(split).alias("unit_no", "u")).select(F.col("id").alias(id_col), "unit_no", "u.end_pos", "u.unit")
+    split = let(head, lambda h: _units(h, F.substring(text, F.length(h) + 1, F.length(text)), with_text))
+    out = rows.select("id", F.posexplode(split).alias("unit_no", "u"))
+    return out.select(F.col("id").alias(id_col), "unit_no", "u.end_pos", *["u.unit"] * with_text)
