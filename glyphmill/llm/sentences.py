@@ -76,11 +76,11 @@ _NO_END = [
 
 #: Steps before quotations are looked at: (pattern, replacement), each one character for one but for END.
 MASKING = [
-    (r"\r(?!\n)|[\x{85}\x{2028}\x{2029}]", "\n"),
+    (r"[\r\x{85}\x{2028}\x{2029}](?!(?<=\r)\n)", "\n"),
     (f"\n(?={_NO_BREAK}*\n)", PARAGRAPH),
     (f'"(?<![^{SPACE}{PARAGRAPH}{OPENERS}—–-]")(?=\\S)', STRAIGHT[0]),
     (f"“(?<=[.!?…,\\p{{L}}\\p{{N}}]“)(?![\\p{{L}}\\p{{N}}¿¡])", CLOSING),
-    (f"((?:\\.{{2,}}|…+)[{CLOSERS}]*)(?=[{SPACE}]+{_OPEN}\\p{{Lu}})", f"$1{END}"),
+    (f"(?=[.…])((?:\\.{{2,}}|…+)[{CLOSERS}]*)(?=[{SPACE}]+{_OPEN}\\p{{Lu}})", f"$1{END}"),
     (f"\\.(?:{'|'.join(_NO_END)})", DOT),
     (r"．(?<=\p{Nd}．)(?=\p{Nd})", MASKS[TERMINATORS.index("．")]),
 ]
@@ -97,11 +97,10 @@ _ENDS = [
     r"\.(?<=\p{L}{3}\.)(?=\p{Nd})",
     f"\\.(?<=\\p{{IsHangul}}[{CLOSERS}]?\\.)[{CLOSERS}]*(?=[{SPACE}]*\\p{{Ll}})",
 ]
-#: Steps that put END behind each unit, after quotations have been masked.
-SPLITTING = [
-    (f"({'|'.join(_ENDS)})", f"$1{END}"),
-    (f"{PLAIN}(?=[{SPACE}]+{_OPEN}{_CAPITAL})|{INTRODUCED}(?![{SPACE}]*(?:[\\p{{Ll}},;:.،，、；—–]|と|って|라|하고|고[{SPACE}]|{END}))", END),
-]
+#: Puts END behind each unit, after quotations have been masked.
+SPLIT = (f"(?=[.!?。！？．｡।॥؟۔])({'|'.join(_ENDS)})", f"$1{END}")
+#: Puts END behind a quotation or bracket that closes a sentence.
+CLOSE = (f"{PLAIN}(?=[{SPACE}]+{_OPEN}{_CAPITAL})|{INTRODUCED}(?![{SPACE}]*(?:[\\p{{Ll}},;:.،，、；—–]|と|って|라|하고|고[{SPACE}]|{END}))", END)
 #: In Thai a space with no digit beside it ends a unit.
 THAI = (f"([\\p{{IsThai}}{CLOSERS}](?<!\\p{{Nd}}))(?=[{SPACE}]+{_OPEN}\\p{{IsThai}}(?<!\\p{{Nd}}))", f"$1{END}")
 
@@ -122,14 +121,17 @@ def _mask_quoted(col: Column) -> Column:
         note = F.when(inner.rlike(f"[{MASKS}]{_GAP}?[{CLOSERS}]$"), F.when(piece.rlike(r"^[:：,،，]"), F.lit(INTRODUCED)).otherwise(F.lit(PLAIN))).otherwise(F.lit(""))
         return F.when((F.length(piece) > 2) & piece.rlike(f"(?s)^{_INTRO}[{OPENERS}].*[{CLOSERS}]$"), F.concat(inner, note)).otherwise(piece)
 
-    return F.when(col.rlike(f"[{OPENERS}]"), F.array_join(F.transform(pieces, mask), "")).otherwise(col)
+    return F.array_join(F.transform(pieces, mask), "")
 
 
 def _marked(rest: Column) -> Column:
     """What follows the title, with END behind each unit."""
-    masked = F.translate(_apply(rest, MASKING), '"', STRAIGHT[1])
-    split = let(masked, lambda m: F.translate(_apply(_mask_quoted(m), SPLITTING), PLAIN + INTRODUCED, ""))
-    split = let(split, lambda x: F.when(x.rlike(r"\p{IsThai}"), F.regexp_replace(x, *THAI)).otherwise(x))
+    def ended(masked: Column) -> Column:
+        quoted = F.regexp_replace(F.regexp_replace(_mask_quoted(masked), *SPLIT), *CLOSE)
+        return F.when(masked.rlike(f"[{OPENERS}]"), F.translate(quoted, PLAIN + INTRODUCED, "")).otherwise(F.regexp_replace(masked, *SPLIT))
+
+    split = let(F.translate(_apply(rest, MASKING), '"', STRAIGHT[1]), ended)
+    split = let(split, lambda x: F.when(x.rlike("[\u0e01-\u0e5b]"), F.regexp_replace(x, *THAI)).otherwise(x))
     return F.replace(split, F.lit(PARAGRAPH), F.lit(END + PARAGRAPH))
 
 
