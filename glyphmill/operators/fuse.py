@@ -18,9 +18,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from glyphmill.operators.index import tier
+from glyphmill.operators.search import DEFAULT_RESULTS, PROBE_SCHEMA, probes_of, ranked, scores
 
 #: Fingerprint bits of each tier.
 BITS = {"lo": 9, "hi": 16}
@@ -184,28 +185,45 @@ def _sharded(keys: DataFrame, shards: int) -> DataFrame:
 
 def build_filters(keys: DataFrame) -> DataFrame:
     """tier, shard, shards, n and blob: the filters of (tier, key) rows, each of about SHARD_KEYS keys at most."""
-    distinct = keys.select("tier", "key").distinct()
-    shards = max(1, -(-distinct.count() // SHARD_KEYS))
+    shards = max(1, -(-keys.count() // SHARD_KEYS))
 
     def make(key: tuple, rows: pa.Table) -> pa.Table:
         name, shard = (k.as_py() for k in key)
-        numbers = rows.column("key").to_numpy()
-        return pa.table({"tier": [name], "shard": pa.array([shard], pa.int32()), "shards": pa.array([shards], pa.int32()), "n": pa.array([len(numbers)], pa.int64()), "blob": pa.array([build(numbers, BITS[name])], pa.binary())})
+        blob = build(rows.column("key").to_numpy(), BITS[name])
+        return pa.table({"tier": [name], "shard": pa.array([shard], pa.int32()), "shards": pa.array([shards], pa.int32()), "n": pa.array([Filter(blob).n], pa.int64()), "blob": pa.array([blob], pa.binary())})
 
-    return _sharded(distinct, shards).groupBy("tier", "shard").applyInArrow(make, "tier string, shard int, shards int, n bigint, blob binary")
+    return _sharded(keys.select("tier", "key"), shards).groupBy("tier", "shard").applyInArrow(make, "tier string, shard int, shards int, n bigint, blob binary")
 
 
 def probe(keys: DataFrame, filters: DataFrame) -> DataFrame:
-    """The (tier, key) rows with `held`: whether the filters hold them. Keys go to their shard; filters aren't gathered."""
+    """The rows of keys (tier, key and others) with `held`: whether the filters hold them. Keys go to their shard; filters aren't gathered."""
     shards = (filters.agg(F.max("shards")).first() or [1])[0] or 1
+    columns = keys.columns
 
     def look(left: pa.Table, right: pa.Table) -> pa.Table:
         numbers = left.column("key").to_numpy()
         held = Filter(right.column("blob")[0].as_py()).contains(numbers) if right.num_rows else np.zeros(len(numbers), bool)
-        return pa.table({"tier": left.column("tier"), "key": left.column("key"), "held": pa.array(held)})
-
-    asked = _sharded(keys.select("tier", "key"), shards).groupBy("tier", "shard")
-    return asked.cogroup(filters.select("tier", "shard", "blob").groupBy("tier", "shard")).applyInArrow(look, "tier string, key bigint, held boolean")
+        return left.select(columns).append_column("held", pa.array(held))
+
+    asked = _sharded(keys, shards).groupBy("tier", "shard")
+    schema = StructType([*keys.schema.fields, StructField("held", BooleanType())])
+    return asked.cogroup(filters.select("tier", "shard", "blob").groupBy("tier", "shard")).applyInArrow(look, schema)
+
+
+def filter_search(documents: DataFrame, filters: DataFrame, query: str | None, max_results: int = 0) -> DataFrame:
+    """rank, doc_id, hits, title_hits by asking the filters about every document: the exact search's result and rare false matches.
+
+    Work is documents times probes (33 at most) whatever matches, so the search over postings is the one for large corpora.
+    """
+    spark, limit = documents.sparkSession, max_results or DEFAULT_RESULTS
+    rows = [(p[0], p[1], p[2], p[3]) for p in probes_of(query)]
+    keyed = spark.createDataFrame(rows, PROBE_SCHEMA).select("pos", "is_title", tier(F.col("kind")).alias("tier"), token_key(marked(F.col("kind"), F.col("token"))).alias("token_key"))
+    asked = [tuple(r) for r in keyed.collect()]  # the probes of one query
+    structs = F.array(*(F.struct(F.lit(pos).alias("pos"), F.lit(title).alias("is_title"), F.lit(name).alias("tier"), F.lit(k).cast("bigint").alias("token_key")) for pos, title, name, k in asked))
+    if not asked:
+        return spark.createDataFrame([], "rank bigint, doc_id bigint, hits bigint, title_hits bigint")
+    each = documents.select("doc_id", F.inline(structs)).select("doc_id", "pos", "is_title", "tier", pair_key("token_key", "doc_id").alias("key"))
+    return ranked(scores(probe(each, filters).where("held"), ["doc_id"]), limit)
 
 
 def filter_statistics(postings: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def probe_table(queries: DataFrame) -> DataFrame:
     return each.select("query_id", "pos", "token", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("query_id", "pos", "r.kind", "token", "r.is_title")
 
 
-def _scores(matches: DataFrame, keys: list[str]) -> DataFrame:
+def scores(matches: DataFrame, keys: list[str]) -> DataFrame:
     bit = F.expr("shiftleft(1, pos)")
     masks = matches.groupBy(*keys).agg(F.bit_or(F.when(~F.col("is_title"), bit).otherwise(0)).alias("hit"), F.bit_or(F.when(F.col("is_title"), bit).otherwise(0)).alias("titled"))
     counted = masks.select(*keys, F.bit_count("hit").cast("bigint").alias("hits"), F.bit_count(F.col("hit").bitwiseAND(F.col("titled"))).cast("bigint").alias("title_hits"))
@@ -68,6 +68,12 @@ def _order() -> list[Column]:
     return [F.desc("hits"), F.desc("title_hits"), F.asc("doc_id")]
 
 
+def ranked(scored: DataFrame, limit: int) -> DataFrame:
+    """rank, doc_id, hits, title_hits of the `limit` best documents of one query."""
+    best = scored.orderBy(*_order()).limit(limit)
+    return best.select(F.row_number().over(Window.orderBy(*_order())).cast("bigint").alias("rank"), "doc_id", "hits", "title_hits")  # over `limit` rows
+
+
 def search(index, query: str | None, max_results: int = 0) -> DataFrame:
     """rank, doc_id, hits, title_hits, title, url, meta of the best documents for one query; none for a query without tokens."""
     probes = probes_of(query)
@@ -76,9 +82,8 @@ def search(index, query: str | None, max_results: int = 0) -> DataFrame:
     postings = index.postings
     if probes:
         postings = postings.where(F.col("kind").isin(*{p[1] for p in probes}) & F.col("token").isin(*{p[2] for p in probes}))
-    best = _scores(postings.join(table, ["kind", "token"]), ["doc_id"]).orderBy(*_order()).limit(limit)
-    ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(*_order())).cast("bigint"))  # over `limit` rows
-    kept = F.broadcast(ranked) if limit <= 10_000 else ranked
+    best = ranked(scores(postings.join(table, ["kind", "token"]), ["doc_id"]), limit)
+    kept = F.broadcast(best) if limit <= 10_000 else best
     return index.documents.join(kept, "doc_id").select("rank", "doc_id", "hits", "title_hits", "title", "url", "meta").orderBy("rank")
 
 
@@ -87,11 +92,11 @@ def score_batch(postings: DataFrame, queries: DataFrame) -> DataFrame:
     probes = probe_table(queries)
     facts = queries.agg(F.count("*").alias("n"), F.max("max_results").alias("most")).first()
     few = facts["n"] * (2 * MAX_TOKENS + 1) <= BROADCAST_PROBES
-    scores = _scores(postings.join(F.broadcast(probes) if few else probes, ["kind", "token"]), ["query_id", "doc_id"])
+    scored = scores(postings.join(F.broadcast(probes) if few else probes, ["kind", "token"]), ["query_id", "doc_id"])
     wanted = queries.select("query_id", F.when(F.col("max_results") > 0, F.col("max_results")).otherwise(DEFAULT_RESULTS).alias("wanted"))
-    ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*_order())))
-    ranked = ranked.where(F.col("rank") <= max(facts["most"] or 0, DEFAULT_RESULTS))  # a literal bound lets partial ranking drop rows early
-    kept = ranked.join(F.broadcast(wanted) if few else wanted, "query_id").where("rank <= wanted")
+    placed = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*_order())))
+    placed = placed.where(F.col("rank") <= max(facts["most"] or 0, DEFAULT_RESULTS))  # a literal bound lets partial ranking drop rows early
+    kept = placed.join(F.broadcast(wanted) if few else wanted, "query_id").where("rank <= wanted")
     return kept.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "hits", "title_hits")
 
 

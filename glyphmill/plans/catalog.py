@@ -369,3 +369,9 @@ def filter_membership(spark, sf_dir):
     return fuse.probe(keys, fuse.build_filters(keys)).groupBy("tier", "held").agg(F.count("*").alias("n"))
 
 
+@query()
+def filter_search(spark, sf_dir):
+    """The best documents by the filters alone."""
+    index = build_index(corpus(spark, sf_dir), BOTH)
+    filters = fuse.build_filters(fuse.pair_keys(index.postings).select("tier", "key"))
+    return fuse.filter_search(index.documents, filters, "bridge known Vel", 50)

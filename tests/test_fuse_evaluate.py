@@ -68,6 +68,18 @@ def test_filters_of_postings(spark, monkeypatch):
     assert fuse.build_filters(keys.limit(0)).collect() == []
 
 
+def test_filter_search(spark):
+    corpus = spark.createDataFrame(SMALL_CORPUS, "doc_id bigint, title string, url string, body string, author string, date string")
+    index = build_index(corpus, IndexConfig(indexed_fields=("title", "body")))
+    filters = fuse.build_filters(fuse.pair_keys(index.postings))
+    for query in ("hello world", "progr", "ㅇㄴ", "hello programming", "", "zzz"):
+        exact = {(r.doc_id, r.hits, r.title_hits) for r in index.search(query).collect()}
+        got = fuse.filter_search(index.documents, filters, query).collect()
+        assert {r.doc_id for r in got} >= {e[0] for e in exact}
+        assert all(any(r.doc_id == d and r.hits >= h and r.title_hits >= t for r in got) for d, h, t in exact)
+        assert [r["rank"] for r in got] == list(range(1, len(got) + 1))
+
+
 def corpus(spark):
     rows = [(0, "Alpha one", "/a", "shared x1"), (1, "Beta two", "/b", "shared alpha"), (2, "안녕하세요 친구", "/c", None), (3, None, None, ""), (4, "가a나", "/e", "b")]
     return spark.createDataFrame(rows, "doc_id bigint, title string, url string, body string")
