@@ -105,6 +105,11 @@ CLOSE = (f"{PLAIN}(?=[{SPACE}]+{_OPEN}{_CAPITAL})|{INTRODUCED}(?![{SPACE}]*(?:[\
 THAI = (f"([\\p{{IsThai}}{CLOSERS}](?<!\\p{{Nd}}))(?=[{SPACE}]+{_OPEN}\\p{{IsThai}}(?<!\\p{{Nd}}))", f"$1{END}")
 
 
+UNITS = "array<struct<end_pos:bigint,unit:string>>"
+#: Pieces of a text that are added up at once.
+PART = 200
+
+
 def _apply(col: Column, steps: list[tuple[str, str]]) -> Column:
     for pattern, replacement in steps:
         col = F.regexp_replace(col, pattern, replacement)
@@ -143,7 +148,7 @@ def _units(title: Column, rest: Column, with_text: bool) -> Column:
     """array<struct<end_pos, unit>> of a title part and what follows it."""
     pieces = F.concat(F.array(title), F.split(_marked(rest), END, -1))
     blank = F.lit(BLANK + PARAGRAPH)
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<end_pos:bigint,unit:string>>").alias("units"))
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast(UNITS).alias("units"))
 
     def step(acc: Column, piece: Column) -> Column:
         kept = F.rtrim(piece, blank)
@@ -152,7 +157,13 @@ def _units(title: Column, rest: Column, with_text: bool) -> Column:
         units = F.when(F.length(kept) > 0, F.concat(acc["units"], F.array(unit))).otherwise(acc["units"])
         return F.struct((acc["pos"] + F.length(piece)).alias("pos"), units.alias("units"))
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["units"])
+    def parts(acc: Column, some: Column) -> Column:
+        inner = F.aggregate(some, F.struct(acc["pos"].alias("pos"), F.array().cast(UNITS).alias("units")), step)
+        return let(inner, lambda i: F.struct(i["pos"].alias("pos"), F.concat(acc["units"], i["units"]).alias("units")))
+
+    # In parts, as each step copies the list so far: a text of any length costs little more than its length.
+    cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / PART).cast("int")), lambda i: F.slice(p, i * PART + 1, PART))
+    return F.aggregate(let(pieces, cut), start, parts, lambda acc: acc["units"])
 
 
 def sentence_units(df: DataFrame, id_col: str, text_col: str, with_text: bool = True) -> DataFrame:
