@@ -31,7 +31,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """df written once to the shared checkpoint folder. The session's spark.checkpoint.dir is used; a local folder only where it is unset."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glyphmill-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="glyphmill-"))
     return df.checkpoint()
 
 
