@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.config import IndexConfig
-from glyphmill.functions.text import edge_ngrams, initials_prefixes, tokenize
+from glyphmill.functions.text import ascii_lower, edge_ngrams, initials_prefixes, tokenize
+from glyphmill.sources.corpus import plain_number
 
 VERSION = 1
 KINDS = ("exact", "prefix", "cho", "title", "title_cho")
@@ -85,17 +86,30 @@ def pretokenized_postings(documents: DataFrame, tokens: str, initials_max_len: i
 
 def stored_documents(corpus: DataFrame, config: IndexConfig) -> DataFrame:
     """doc_id, title, url and meta of each document; a missing or null field is empty."""
-    text = lambda f: F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("")) if f in corpus.columns else F.lit("")
+    shown = lambda f: plain_number(F.col(f"`{f}`")) if dict(corpus.dtypes)[f] in ("double", "float") else F.col(f"`{f}`").cast("string")
+    text = lambda f: F.coalesce(shown(f), F.lit("")) if f in corpus.columns else F.lit("")
     only = lambda f: text(f) if dict(corpus.dtypes).get(f) == "string" else F.lit("")
     pairs = [x for f in dict.fromkeys(config.metadata_fields) for x in (F.lit(f), text(f))]
     return corpus.select("doc_id", only("title").alias("title"), only(config.url_field).alias("url"), F.create_map(*pairs).cast("map<string,string>").alias("meta"))
 
 
+def can_hold(corpus: DataFrame, config: IndexConfig, kinds: set[str], tokens: set[str]) -> Column:
+    """A necessary condition, cheap to test: tokens are parts of the text, and initials come from Hangul syllables."""
+    fields = [ascii_lower(F.col(f"`{f}`")) for f in config.indexed_fields if dict(corpus.dtypes).get(f) == "string"]
+    out = F.lit(False)
+    for text in fields:
+        if kinds & {"cho", "title_cho"}:
+            out |= F.coalesce(text.rlike(r"[\x{AC00}-\x{D7A3}]"), F.lit(False))
+        for token in tokens:
+            out |= F.coalesce(F.contains(text, F.lit(token)), F.lit(False))
+    return out
+
+
 class SearchIndex:
     """Postings and documents of a corpus, in memory as plans or on disk as Parquet."""
 
-    def __init__(self, documents: DataFrame, postings: DataFrame, metadata_fields: tuple[str, ...] = ()) -> None:
-        self.documents, self.postings, self.metadata_fields = documents, postings, tuple(metadata_fields)
+    def __init__(self, documents: DataFrame, postings: DataFrame, metadata_fields: tuple[str, ...] = (), source: tuple[DataFrame, IndexConfig] | None = None) -> None:
+        self.documents, self.postings, self.metadata_fields, self.source = documents, postings, tuple(metadata_fields), source
 
     @property
     def spark(self) -> SparkSession:
@@ -116,8 +130,23 @@ class SearchIndex:
 
     def cache(self) -> SearchIndex:
         self.postings.cache()
+        self.source = None
         return self
 
+    def postings_for(self, kinds: set[str], tokens: set[str]) -> DataFrame:
+        """Postings of these kinds and tokens. Of a corpus that isn't stored as an index, only texts that can hold one are tokenized."""
+        postings_ = self.postings
+        if self.source:
+            corpus, config = self.source
+            postings_ = postings(corpus.where(can_hold(corpus, config, kinds, tokens)), config)
+        return postings_.where(F.col("kind").isin(*kinds) & F.col("token").isin(*tokens))
+
+    @staticmethod
+    def stored_bytes(spark: SparkSession, path: str) -> int:
+        """Bytes of a stored index's files."""
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        return files.agg(F.sum("length")).first()[0] or 0
+
     def search(self, query: str, max_results: int = 0) -> DataFrame:
         from glyphmill.operators.search import search
 
@@ -154,4 +183,4 @@ class SearchIndex:
 def build_index(corpus: DataFrame, config: IndexConfig | None = None) -> SearchIndex:
     """Index of a corpus with doc_id and the configured fields; extra columns are ignored."""
     config = (config or IndexConfig()).checked()
-    return SearchIndex(stored_documents(corpus, config), postings(corpus, config), config.metadata_fields)
+    return SearchIndex(stored_documents(corpus, config), postings(corpus, config), config.metadata_fields, (corpus, config))

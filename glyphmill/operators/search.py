@@ -79,9 +79,7 @@ def search(index, query: str | None, max_results: int = 0) -> DataFrame:
     probes = probes_of(query)
     spark, limit = index.spark, max_results or DEFAULT_RESULTS
     table = F.broadcast(spark.createDataFrame(probes, PROBE_SCHEMA))  # at most 33 rows
-    postings = index.postings
-    if probes:
-        postings = postings.where(F.col("kind").isin(*{p[1] for p in probes}) & F.col("token").isin(*{p[2] for p in probes}))
+    postings = index.postings_for({p[1] for p in probes}, {p[2] for p in probes}) if probes else index.postings.limit(0)
     best = ranked(scores(postings.join(table, ["kind", "token"]), ["doc_id"]), limit)
     kept = F.broadcast(best) if limit <= 10_000 else best
     return index.documents.join(kept, "doc_id").select("rank", "doc_id", "hits", "title_hits", "title", "url", "meta").orderBy("rank")

@@ -17,12 +17,21 @@ class CorpusError(ValueError):
     """Input that is no corpus."""
 
 
+def plain_number(number: Column) -> Column:
+    """A floating-point number without exponent and without needless zeros: 2.5, 3, 1000000000000000000000."""
+    return _short(F.coalesce(*(number.try_cast(f"decimal(38,{d})").cast("string") for d in (18, 6, 0)), number.cast("string")))
+
+
+def _short(digits: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(digits, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
 def stringified(value: Column) -> Column:
     """A variant as text: strings, numbers and truth values in their plain form, everything else (and a missing value) empty."""
     kind = F.schema_of_variant(value)
-    number = F.regexp_replace(F.to_json(value), r"^\"|\"$", "")
+    number = _short(F.regexp_replace(F.to_json(value), r"^\"|\"$", ""))
     plain = F.when(kind == "STRING", F.try_variant_get(value, "$", "string")).when(kind.isin("BIGINT", "BOOLEAN") | kind.startswith("DECIMAL"), number)
-    return F.coalesce(plain.when(kind.isin("DOUBLE", "FLOAT"), F.try_variant_get(value, "$", "decimal(38,10)").cast("string")), F.lit(""))
+    return F.coalesce(plain.when(kind.isin("DOUBLE", "FLOAT"), plain_number(F.try_variant_get(value, "$", "double"))), F.lit(""))
 
 
 def string_only(value: Column) -> Column:

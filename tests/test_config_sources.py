@@ -61,7 +61,7 @@ def test_default_stopwords():
 
 
 ROWS = [
-    {"title": "A", "url": "/a", "body": "x", "views": 12, "ok": True, "score": 2.5, "tags": ["t"], "none": None},
+    {"title": "A", "url": "/a", "body": "x", "views": 12, "ok": True, "score": 2.50, "tags": ["t"], "none": None},
     {"title": 7, "url": ["u"], "views": "12", "score": -1e21, "extra": 1},
     {},
 ]
@@ -73,7 +73,21 @@ def test_json_array(spark, tmp_path):
     assert [r.doc_id for r in got] == [0, 1, 2]
     assert [(r.title, r.url, r.body) for r in got] == [("A", "/a", "x"), (None, None, None), (None, None, None)]
     assert [(r.views, r.ok, r.tags, r.none) for r in got] == [("12", "true", "", ""), ("12", "", "", ""), ("", "", "", "")]
-    assert float(got[0].score) == 2.5
+    assert [r.score for r in got] == ["2.5", "-1000000000000000000000", ""]
+
+
+def test_plain_numbers(spark):
+    from pyspark.sql import functions as F
+
+    numbers = [2.5, 3.0, -0.001, 1e21, 0.0, None, 123456.789, 1e-7, 1e300]
+    got = [r.s for r in spark.createDataFrame([(x,) for x in numbers], "x double").select(corpus.plain_number(F.col("x")).alias("s")).collect()]
+    assert got[:8] == ["2.5", "3", "-0.001", "1000000000000000000000", "0", None, "123456.789", "0.0000001"] and float(got[8]) == 1e300
+
+
+def test_json_numbers(spark, tmp_path):
+    (tmp_path / "c.json").write_text('[{"n": 1.50}, {"n": 3.0}, {"n": -7}, {"n": 100}, {"n": 12345678901234567890}]')
+    got = corpus.from_json_array(spark, str(tmp_path / "c.json"), [], ["n"]).orderBy("doc_id").collect()
+    assert [r.n for r in got] == ["1.5", "3", "-7", "100", "12345678901234567890"]
 
 
 def test_json_errors(spark, tmp_path):

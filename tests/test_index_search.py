@@ -100,6 +100,19 @@ def test_save_and_load(spark, small, tmp_path):
     assert "PartitionFilters: [isnotnull(kind" in plan and "EqualTo(token,hello)" in plan
 
 
+def test_unstored_corpus_is_narrowed(spark):
+    index = I.build_index(spark.createDataFrame(SMALL_CORPUS, SCHEMA), CONFIG)
+    for query in EXPECTED:
+        assert found(index, query) == EXPECTED[query]
+    plan = index.search("fast")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" in plan or "contains" in plan.lower()
+
+
+def test_stored_bytes(spark, small, tmp_path):
+    small.save(str(tmp_path / "i"))
+    assert I.SearchIndex.stored_bytes(spark, str(tmp_path / "i")) > 1000
+
+
 def test_load_errors(spark, small, tmp_path, monkeypatch):
     with pytest.raises(I.IndexError_):
         I.SearchIndex.load(spark, str(tmp_path / "nothing"))
