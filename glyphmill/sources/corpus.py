@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glyphmill.operators.tables import cut_lineage
+
 #: Largest JSON array read as one value; larger corpora come as JSON lines or Parquet.
 JSON_ARRAY_LIMIT = 100 * 1024 * 1024
 
@@ -68,13 +70,15 @@ def with_doc_id(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """df with a dense doc_id from 0: in the order of the columns, or of its partitions.
 
     Rows are numbered inside their partition and shifted by the rows of the partitions before it, so no task holds more
-    than its own partition; only one count for each partition goes to the driver.
+    than its own partition; the table of shifts has one row for each partition. A sorted order is written once, as sorting
+    again could cut its partitions elsewhere.
     """
     from pyspark.sql import Window
 
     ordered = df.orderBy(*order_by) if order_by else df
     columns = df.columns
     numbered = ordered.withColumn("_gm_id", F.monotonically_increasing_id())
+    numbered = cut_lineage(numbered) if order_by else numbered
     part, row = F.shiftright("_gm_id", 33).cast("int"), F.col("_gm_id").bitwiseAND(F.lit((1 << 33) - 1))
     counts = numbered.groupBy(part.alias("_gm_part")).agg(F.count("*").alias("n"))
     shift = F.sum("n").over(Window.orderBy("_gm_part").rowsBetween(Window.unboundedPreceding, -1))
