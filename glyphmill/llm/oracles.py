@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from glyphmill.functions.text import LOWER, TOKEN_PATTERN, UPPER
+from glyphmill.llm.canon import canonical_sql
 
 TOKENS = f"""tokens AS (
   SELECT doc_id, unnest(regexp_extract_all(translate(t, '{UPPER}', '{LOWER}'), '{TOKEN_PATTERN}')) AS term
@@ -18,7 +19,39 @@ MARGINS = f"""{TOKENS}, cells AS (SELECT doc_id, term, count(*) AS tf FROM token
 DEVIATING = r"[\x{FF10}-\x{FF19}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}\x{FF66}-\x{FF9F}\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{AD}\x{61C}\x{180E}\x{200B}\x{200C}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FEFF}]"
 JOINED_EMOJI = r"[\x{2190}-\x{2BFF}\x{1F000}-\x{1FAFF}]\x{FE0F}?\x{200D}"
 
+
+
+def canonical_of(source: str, texts: list[str], keep: list[str]) -> str:
+    return canonical_sql(texts, keep, False).replace("FROM batch", f"FROM ({source})")
+
+
+def letters(x: str) -> str:
+    return f"regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+
+
+def folded(x: str) -> str:
+    return f"regexp_extract_all(replace(lower({x}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+')"
+
+
+#: All pairs of rows with a piece in common, counted: brute force.
+ALIKE = f"""form AS ({canonical_of("SELECT doc_id, coalesce(title, '') || ' ' || body AS t, body FROM search_index WHERE body IS NOT NULL", ["t", "body"], ["doc_id"])}),
+  plain AS (SELECT doc_id, {letters('t')} AS s FROM form WHERE length({letters('body')}) >= 80),
+  pieces AS (SELECT DISTINCT doc_id, substr(s, k, 4) AS g FROM (SELECT doc_id, s, unnest(range(1, length(s) - 2)) AS k FROM plain)),
+  sizes AS (SELECT doc_id, count(*) AS n FROM pieces GROUP BY ALL),
+  common AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM pieces a JOIN pieces b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+  alike AS (SELECT doc_a, doc_b, c, x.n + y.n - c AS u FROM common JOIN sizes x ON doc_a = x.doc_id JOIN sizes y ON doc_b = y.doc_id WHERE c >= 0.6 * (x.n + y.n - c))"""
+
+RUNS = "SELECT {id}, {chars} AS chars, array_to_string(w[k:k + 9], ' ') AS r FROM (SELECT *, unnest(range(1, len(w) - 8)) AS k FROM {words})"
+LETTER_RUNS = "SELECT {id}, true AS chars, substr(s, k, 20) AS r FROM (SELECT *, unnest(range(1, length(s) - 18)) AS k FROM (SELECT *, array_to_string(w, '') AS s FROM {words}))"
+
 ORACLES = {
+    "p1_found": f"WITH {ALIKE} SELECT doc_a, doc_b FROM alike",
+    "p1_groups": f"""WITH RECURSIVE {ALIKE},
+  class AS (SELECT doc_id, least(doc_id, coalesce(min(doc_a), doc_id)) AS class_id FROM sizes LEFT JOIN (SELECT doc_a, doc_b FROM alike WHERE c = u) ON doc_b = doc_id GROUP BY doc_id),
+  edge AS (SELECT DISTINCT x.class_id AS a, y.class_id AS b FROM (SELECT doc_a, doc_b FROM alike UNION ALL SELECT doc_b, doc_a FROM alike)
+    JOIN class x ON doc_a = x.doc_id JOIN class y ON doc_b = y.doc_id WHERE x.class_id <> y.class_id),
+  reach AS (SELECT class_id AS a, class_id AS b FROM class UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a)
+SELECT doc_id, class_id, (SELECT count(*) FROM edge WHERE a = class_id) AS links, (SELECT min(b) FROM reach WHERE a = class_id) AS group_id FROM class""",
     "p2_found": f"""WITH {MARGINS}
 SELECT doc_id, term FROM cells JOIN column_totals USING (term) WHERE tf >= 3 AND records BETWEEN 2 AND 5""",
     "p2_scores": f"""WITH {MARGINS}, e AS (
@@ -36,5 +69,14 @@ SELECT term, CASE WHEN records = 1 THEN 'rare' ELSE 'common' END AS verdict FROM
 SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS records,
   CASE WHEN count(DISTINCT doc_id) = 1 THEN 'rare' WHEN count(DISTINCT doc_id) * 20 > (SELECT count(*) FROM search_index) THEN 'common' ELSE 'useful' END AS verdict
 FROM tokens GROUP BY term""",
+    "p3_canonical": canonical_of("SELECT doc_id, title, body FROM search_index", ["title", "body"], ["doc_id"]),
+    "p7_found": f"""WITH docs AS ({canonical_of("SELECT doc_id, text FROM documents WHERE text IS NOT NULL", ["text"], ["doc_id"])}),
+  items AS ({canonical_of("SELECT item_id, lang, text FROM eval_items", ["text"], ["item_id", "lang"])}),
+  dw AS (SELECT doc_id, {folded('text')} AS w FROM docs),
+  spaced AS (SELECT item_id, {folded('text')} AS w FROM items WHERE coalesce(lang, '') NOT IN ('ja', 'zh')),
+  unspaced AS (SELECT item_id, {folded('text')} AS w FROM items WHERE lang IN ('ja', 'zh')),
+  held AS ({RUNS.format(id='doc_id', chars='false', words='dw')} UNION ALL {LETTER_RUNS.format(id='doc_id', words='dw')}),
+  asked AS ({RUNS.format(id='item_id', chars='false', words='spaced')} UNION ALL {LETTER_RUNS.format(id='item_id', words='unspaced')})
+SELECT DISTINCT doc_id, item_id FROM held JOIN asked USING (chars, r)""",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
