@@ -19,6 +19,9 @@ KINDS = ("exact", "prefix", "cho", "title", "title_cho")
 #: Kinds for which the compact filters spend more bits, as a false match there is costlier.
 HIGH_TIER = ("prefix", "title", "title_cho")
 
+#: Documents whose postings of one token are written by one task.
+DOCUMENTS_PER_FILE = 1_000_000
+
 _NONE = "array<string>"
 
 
@@ -158,9 +161,13 @@ class SearchIndex:
         return search_batch(self, queries)
 
     def save(self, path: str) -> None:
-        """Write documents, postings by kind and sorted by token with a bloom filter on it, and the description."""
+        """Write documents, postings by kind and sorted by token with a bloom filter on it, and the description.
+
+        Postings go to files by kind, token and document range: no sampling pass as for ranges of tokens, and a token held
+        by most documents is spread over several tasks.
+        """
         self.documents.write.mode("overwrite").parquet(f"{path}/documents")
-        spread = self.postings.repartitionByRange("kind", "token").sortWithinPartitions("kind", "token", "doc_id")
+        spread = self.postings.repartition("kind", "token", F.floor(F.col("doc_id") / DOCUMENTS_PER_FILE)).sortWithinPartitions("kind", "token", "doc_id")
         spread.write.mode("overwrite").partitionBy("kind").option("parquet.bloom.filter.enabled#token", "true").parquet(f"{path}/postings")
         about = self.spark.createDataFrame([(VERSION, self.document_count, list(self.metadata_fields))], "version int, documents bigint, metadata_fields array<string>")
         about.coalesce(1).write.mode("overwrite").json(f"{path}/about")
