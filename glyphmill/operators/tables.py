@@ -32,12 +32,41 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local"):
+        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="glyphmill-"))
     return df.checkpoint()
 
 
+def release(df: DataFrame) -> None:
+    """Delete the files of a table that cut_lineage wrote, when nothing will read it again. Does nothing for any other table."""
+    try:
+        written = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    except Exception:  # a plan on top of the written table, or none
+        return
+    if written.isDefined():
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(written.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def attach(rows: DataFrame, table: DataFrame, key: str, hot: str, spread: int = 997) -> DataFrame:
+    """rows joined with the row of table for their key (one row a key, none null), in one pass and without a hot key.
+
+    The keys with the boolean column `hot` are joined by broadcast, so the caller must make sure that only a bounded number
+    of keys can have it; their rows then go to any task, by a salt, and the others to the task of their key. Columns of the
+    table come behind those of rows, without `hot`.
+    """
+    values = [c for c in table.columns if c not in (key, hot)]
+    packed = F.struct(*values)
+    hots = table.where(F.col(hot)).select(key, packed.alias("_hot"))
+    colds = table.where(~F.col(hot)).select(key, F.lit(0).alias("_salt"), packed.alias("_cold"))
+    salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.hash(*rows.columns), F.lit(spread)))
+    joined = rows.join(F.broadcast(hots), key, "left").withColumn("_salt", salt).join(colds.hint("merge"), [key, "_salt"], "left")
+    found = F.coalesce("_hot", "_cold").alias("_found")
+    return joined.select(*rows.columns, found).where(F.col("_found").isNotNull()).select(*rows.columns, *(F.col(f"_found.{v}").alias(v) for v in values))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table. One that lies in fewer parts than there are cores (a single small file) is spread over them; others stay as they are."""
     table = spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -118,3 +118,25 @@ def test_dense_ids(spark):
     assert [r.doc_id for r in got] == list(range(len(got)))
     assert [r.k for r in got] == sorted(r.k for r in got)
     assert corpus.with_doc_id(df.limit(0)).collect() == []
+
+
+def test_attach(spark):
+    from glyphmill.operators.tables import attach
+
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(60)] + [(99, "none"), (98, None)], "id int, k string")
+    table = spark.createDataFrame([("hot", 1, True)] + [(f"k{i}", i, False) for i in range(0, 60, 3)], "k string, v int, many boolean")
+    got = {(r.id, r.k, r.v) for r in attach(rows, table, "k", "many").collect()}
+    assert got == {(i, "hot", 1) if i % 3 else (i, f"k{i}", i) for i in range(60)}
+
+
+def test_release(spark):
+    from glyphmill.operators.tables import cut_lineage, release
+
+    df = cut_lineage(spark.range(10))
+    path = df._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+    jvm = spark._jvm
+    exists = lambda: jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm.org.apache.hadoop.fs.Path(path))
+    assert df.count() == 10 and exists()
+    release(df)
+    assert not exists()
+    release(spark.range(3))
