@@ -78,5 +78,6 @@ FROM tokens GROUP BY term""",
   held AS ({RUNS.format(id='doc_id', chars='false', words='dw')} UNION ALL {LETTER_RUNS.format(id='doc_id', words='dw')}),
   asked AS ({RUNS.format(id='item_id', chars='false', words='spaced')} UNION ALL {LETTER_RUNS.format(id='item_id', words='unspaced')})
 SELECT DISTINCT doc_id, item_id FROM held JOIN asked USING (chars, r)""",
+    "p5_plain": r"SELECT doc_id, body AS text FROM search_index WHERE NOT regexp_matches(body, '[<>&\\\[{|`$*_~''#=-]')",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

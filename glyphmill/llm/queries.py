@@ -9,6 +9,8 @@ from glyphmill.llm import bpe, canon, distinctive, leakage, markup, neardup, sen
 from glyphmill.operators.tables import read_table
 
 FIELDS = ["title", "body"]
+#: Signs without which a body holds no markup, but for runs of marks at the start of a line.
+MARKUP_SIGNS = r"[<>&\\\[{|`$*_~'#=-]"
 
 
 #: The terms of problem 1: pieces of four characters, a similarity of 0.6, at least 80 letters and digits in the body.
@@ -59,6 +61,12 @@ def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.clean_bodies(read_table(spark, sf_dir, "search_index"), "doc_id", "body").select("doc_id", "text")
 
 
+def p5_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the operator makes of bodies without any sign that markup needs: themselves."""
+    known = read_table(spark, sf_dir, "search_index").select(F.struct("doc_id", F.col("body").alias("stored")).alias("k"), "body")
+    return markup.clean_bodies(known, "k", "body").where(~F.col("k.stored").rlike(MARKUP_SIGNS)).select("k.doc_id", "text")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -85,4 +93,4 @@ def p8_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_scores, p3_found, p3_canonical, p4_found, p4_frequencies, p5_found, p5_clean, p6_ids, p6_decoded, p7_found, p7_near, p8_found, p8_units)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_scores, p3_found, p3_canonical, p4_found, p4_frequencies, p5_found, p5_clean, p5_plain, p6_ids, p6_decoded, p7_found, p7_near, p8_found, p8_units)}
