@@ -15,6 +15,8 @@ MARGINS = f"""{TOKENS}, cells AS (SELECT doc_id, term, count(*) AS tf FROM token
   column_totals AS (SELECT term, sum(tf) AS c, count(*) AS records FROM cells GROUP BY ALL),
   total AS (SELECT count(*)::DOUBLE AS n FROM tokens)"""
 
+WHITE = r"[ \t-\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
 # The classes of characters that read like others.
 DEVIATING = r"[\x{FF10}-\x{FF19}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}\x{FF66}-\x{FF9F}\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{AD}\x{61C}\x{180E}\x{200B}\x{200C}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FEFF}]"
 JOINED_EMOJI = r"[\x{2190}-\x{2BFF}\x{1F000}-\x{1FAFF}]\x{FE0F}?\x{200D}"
@@ -79,5 +81,6 @@ FROM tokens GROUP BY term""",
   asked AS ({RUNS.format(id='item_id', chars='false', words='spaced')} UNION ALL {LETTER_RUNS.format(id='item_id', words='unspaced')})
 SELECT DISTINCT doc_id, item_id FROM held JOIN asked USING (chars, r)""",
     "p5_plain": r"SELECT doc_id, body AS text FROM search_index WHERE NOT regexp_matches(body, '[<>&\\\[{|`$*_~''#=-]')",
+    "p8_cover": rf"SELECT * FROM (SELECT doc_id, regexp_replace(text, '{WHITE}', '', 'g') AS text FROM documents) WHERE text <> ''",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

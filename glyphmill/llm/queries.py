@@ -11,7 +11,8 @@ from glyphmill.operators.tables import read_table
 FIELDS = ["title", "body"]
 #: Signs without which a body holds no markup, but for runs of marks at the start of a line.
 MARKUP_SIGNS = r"[<>&\\\[{|`$*_~'#=-]"
-
+#: White space of any kind, for Java's patterns and DuckDB's.
+WHITE = r"[ \t-\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 #: The terms of problem 1: pieces of four characters, a similarity of 0.6, at least 80 letters and digits in the body.
 ALIKE = {"id_col": "doc_id", "main": "body", "others": ["title"], "similarity": 0.6, "piece": 4, "least": 80}
@@ -93,4 +94,12 @@ def p8_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_scores, p3_found, p3_canonical, p4_found, p4_frequencies, p5_found, p5_clean, p5_plain, p6_ids, p6_decoded, p7_found, p7_near, p8_found, p8_units)}
+def p8_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The units of each text one behind the other, without white space."""
+    units = sentences.sentence_units(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    ordered = F.array_sort(F.collect_list(F.struct("unit_no", "unit")))  # the units of one text
+    joined = F.array_join(F.transform(ordered, lambda u: u["unit"]), "")
+    return units.groupBy("doc_id").agg(F.regexp_replace(joined, WHITE, "").alias("text"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_scores, p3_found, p3_canonical, p4_found, p4_frequencies, p5_found, p5_clean, p5_plain, p6_ids, p6_decoded, p7_found, p7_near, p8_found, p8_units, p8_cover)}

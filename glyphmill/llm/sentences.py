@@ -1,8 +1,9 @@
 """Sentence units of texts in many languages and scripts, in SQL expressions only.
 
-Full stops that end nothing (in decimals, addresses, initials, abbreviations, dates, ellipses) and every terminator inside
-a quotation or bracket are masked by private-use placeholders; the text is then split by terminator patterns of each
-script, and the placeholders are turned back. Every step is a Spark function on the row, so nothing is shuffled and no
+Addresses (URLs, hosts, mail, file names) are masked as whole spans first; then full stops that end nothing (in decimals,
+initials, abbreviations, dates, ellipses) and every terminator inside a quotation or bracket are masked by private-use
+placeholders; the text is then split by terminator patterns of each script, and the placeholders are turned back. A text
+that holds such characters itself is split with others in their place, and its units are cut out of the text as stored. Every step is a Spark function on the row, so nothing is shuffled and no
 Python runs; whole texts are used.
 
 The first line with content is a title and one unit; a blank line ends a unit; any other line break counts as a space.
@@ -34,7 +35,20 @@ ABBREVIATIONS = {
 }
 #: Units of one letter, whose full stop behind a number may end a sentence.
 UNITS = "mgtlhsмгтлкс"
-MONTHS = "Januar Februar März April Mai Juni Juli August September Oktober November Dezember Jh Jahrhundert Jahrhunderts Jahrhunderten"
+MONTHS = "Jan Feb Mär Mrz Apr Jun Jul Aug Sep Sept Okt Nov Dez Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember Jh Jahrhundert Jahrhunderts Jahrhunderten"
+
+# Short names of months whose full stop ends nothing before a number (without those that are other words too).
+SHORT_MONTHS = "Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec Mär Okt Dez janv févr avr juil déc ene abr ago dic янв фев апр июн июл авг сен окт ноя дек"
+
+# Endings of file names, and characters of addresses.
+FILE_ENDINGS = "html?|php|aspx?|pdf|js|css|txt|xml|json|csv|png|jpe?g|gif|svg|zip|docx?|xlsx?|exe"
+_HOST = r"(?:[\p{IsLatin}\p{Nd}-]+\.)+[a-z]{2,}"
+_IN_PATH = f"(?:[A-Za-z0-9_/%&=#~+:@,;$*-]|[.!?](?=[a-z0-9/%&=#_-])|\\?(?=[A-Za-z0-9_]+=)|\\.(?=(?i:{FILE_ENDINGS})(?![\\p{{L}}\\p{{N}}])))"
+#: Spans that hold no end of a sentence; what follows a host or file name as a sentence does is left outside.
+ADDRESS = (
+    f"(?<![\\p{{IsLatin}}\\p{{Nd}}])(?:(?:https?|ftp)://(?:{_HOST}|localhost|[0-9.]+[0-9])(?::[0-9]+)?(?:[/?#]{_IN_PATH}*)?|www\\.{_HOST}(?:[/?#]{_IN_PATH}*)?"
+    f"|[A-Za-z0-9._%+-]+@{_HOST}|[\\p{{IsLatin}}\\p{{Nd}}_-]+\\.(?i:{FILE_ENDINGS})(?![\\p{{L}}\\p{{N}}]))"
+)
 
 #: Placeholders for the straight quotation mark, opening and closing.
 STRAIGHT = "\ue0d0\ue0d1"
@@ -50,6 +64,8 @@ TERMINATORS = ".!?…。！？．｡।॥؟۔"
 MASKS = "".join(chr(0xE0A0 + i) for i in range(len(TERMINATORS)))
 DOT = MASKS[0]
 PARAGRAPH, END, PLAIN, INTRODUCED = "\ue0e0", "\ue0e1", "\ue0e2", "\ue0e3"
+#: All placeholders, and the character that stands for them where a text holds them itself.
+PLACEHOLDERS, OTHER = MASKS + STRAIGHT + CLOSING + PARAGRAPH + END + PLAIN + INTRODUCED, "\ue0f0"
 #: White space other than line separators that are turned into line feeds first.
 BLANK = " \t\r\n\x0b\f\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 SPACE = r" \t\r\n\x0B\f\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
@@ -70,6 +86,7 @@ _NO_END = [
     f"(?<={_EDGE}[\\p{{Lu}}\\p{{IsArabic}}]\\.)",
     r"(?<=\p{Nd}\.)(?=[\p{Nd}\p{Ll}])|(?<!\p{L}{3}\.)(?=\p{Nd})|(?<!\p{IsHangul}\.)(?=\p{Ll})",
     f"(?<=\\b\\p{{Nd}}{{1,2}}\\.)(?=[{SPACE}]+(?:{_any(MONTHS)})\\b)",
+    f"(?=[{SPACE}]+\\p{{Nd}})(?<={_EDGE}(?:{_any(SHORT_MONTHS)})\\.)",
     f"(?<=\\p{{Nd}}\\.)(?=[{SPACE}]+\\p{{Nd}}{{1,2}}\\.)|(?<=\\p{{Nd}}\\.[{SPACE}]{{1,3}}\\p{{Nd}}{{1,2}}\\.)",
     r"(?<=\.\.)|(?=\.)",
 ]
@@ -105,7 +122,7 @@ CLOSE = (f"{PLAIN}(?=[{SPACE}]+{_OPEN}{_CAPITAL})|{INTRODUCED}(?![{SPACE}]*(?:[\
 THAI = (f"([\\p{{IsThai}}{CLOSERS}](?<!\\p{{Nd}}))(?=[{SPACE}]+{_OPEN}\\p{{IsThai}}(?<!\\p{{Nd}}))", f"$1{END}")
 
 
-UNITS = "array<struct<end_pos:bigint,unit:string>>"
+UNIT_LIST = "array<struct<end_pos:bigint,unit:string>>"
 #: Pieces of a text that are added up at once.
 PART = 200
 
@@ -116,6 +133,14 @@ def _apply(col: Column, steps: list[tuple[str, str]]) -> Column:
     return col
 
 
+def _mask_addresses(col: Column) -> Column:
+    """Terminators inside addresses masked."""
+    pieces = F.regexp_extract_all(col, F.lit(f"{ADDRESS}|[\\p{{IsLatin}}\\p{{Nd}}]+|[^\\p{{IsLatin}}\\p{{Nd}}]+"), F.lit(0))  # an address begins at a run of letters
+    masked = F.transform(pieces, lambda piece: F.when(F.contains(piece, F.lit(".")) & piece.rlike(f"^{ADDRESS}$"), F.translate(piece, TERMINATORS, MASKS)).otherwise(piece))
+    may_hold = F.contains(col, F.lit("://")) | F.contains(col, F.lit("www.")) | F.contains(col, F.lit("@")) | col.rlike(f"\\.(?i:{FILE_ENDINGS})(?![\\p{{L}}\\p{{N}}])")
+    return F.when(may_hold, F.array_join(masked, "")).otherwise(col)
+
+
 def _mask_quoted(col: Column) -> Column:
     """Terminators inside pairs masked; behind a pair whose last character before the closing mark is one, a note of whether it was introduced."""
     pairs = "|".join(f"{re.escape(o)}[^{re.escape(c)}{PARAGRAPH}]*[{re.escape(c)}]" for o, c in PAIRS)
@@ -135,7 +160,7 @@ def _marked(rest: Column) -> Column:
         quoted = F.regexp_replace(F.regexp_replace(_mask_quoted(masked), *SPLIT), *CLOSE)
         return F.when(masked.rlike(f"[{OPENERS}]"), F.translate(quoted, PLAIN + INTRODUCED, "")).otherwise(F.regexp_replace(masked, *SPLIT))
 
-    split = let(F.translate(_apply(rest, MASKING), '"', STRAIGHT[1]), ended)
+    split = let(F.translate(_apply(let(rest, _mask_addresses), MASKING), '"', STRAIGHT[1]), ended)
     split = let(split, lambda x: F.when(x.rlike("[\u0e01-\u0e5b]"), F.regexp_replace(x, *THAI)).otherwise(x))
     return F.replace(split, F.lit(PARAGRAPH), F.lit(END + PARAGRAPH))
 
@@ -144,21 +169,24 @@ def _restore(col: Column) -> Column:
     return F.translate(col, MASKS + PARAGRAPH + STRAIGHT + CLOSING, TERMINATORS + '\n""“')
 
 
-def _units(title: Column, rest: Column, with_text: bool) -> Column:
-    """array<struct<end_pos, unit>> of a title part and what follows it."""
+def _units(title: Column, rest: Column, stored: Column | None) -> Column:
+    """array<struct<end_pos, unit>> of a title part and what follows it; units are null without the stored text."""
     pieces = F.concat(F.array(title), F.split(_marked(rest), END, -1))
     blank = F.lit(BLANK + PARAGRAPH)
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(UNITS).alias("units"))
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast(UNIT_LIST).alias("units"))
 
     def step(acc: Column, piece: Column) -> Column:
         kept = F.rtrim(piece, blank)
-        text = _restore(F.ltrim(kept, blank)) if with_text else F.lit(None).cast("string")
+        text = F.lit(None).cast("string")
+        if stored is not None:
+            begin = F.length(kept) - F.length(F.ltrim(kept, blank))
+            text = F.when(stored.rlike(f"[{PLACEHOLDERS}]"), F.substring(stored, acc["pos"] + begin + 1, F.length(kept) - begin)).otherwise(_restore(F.ltrim(kept, blank)))
         unit = F.struct((acc["pos"] + F.length(kept)).cast("bigint").alias("end_pos"), text.alias("unit"))
         units = F.when(F.length(kept) > 0, F.concat(acc["units"], F.array(unit))).otherwise(acc["units"])
         return F.struct((acc["pos"] + F.length(piece)).alias("pos"), units.alias("units"))
 
     def parts(acc: Column, some: Column) -> Column:
-        inner = F.aggregate(some, F.struct(acc["pos"].alias("pos"), F.array().cast(UNITS).alias("units")), step)
+        inner = F.aggregate(some, F.struct(acc["pos"].alias("pos"), F.array().cast(UNIT_LIST).alias("units")), step)
         return let(inner, lambda i: F.struct(i["pos"].alias("pos"), F.concat(acc["units"], i["units"]).alias("units")))
 
     # In parts, as each step copies the list so far: a text of any length costs little more than its length.
@@ -168,9 +196,10 @@ def _units(title: Column, rest: Column, with_text: bool) -> Column:
 
 def sentence_units(df: DataFrame, id_col: str, text_col: str, with_text: bool = True) -> DataFrame:
     """id_col, unit_no (from 0), end_pos (code points from the start of the text through the unit's last character) and, if wanted, unit."""
-    text = F.col("text")
-    head = F.regexp_extract(text, f"^[{SPACE}]*[^\r\n\\x{{85}}\\x{{2028}}\\x{{2029}}]*", 0)
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(text.rlike(f"[^{SPACE}]"))
-    split = let(head, lambda h: _units(h, F.substring(text, F.length(h) + 1, F.length(text)), with_text))
+    stored = F.col("stored")
+    head = lambda text: F.regexp_extract(text, f"^[{SPACE}]*[^\r\n\\x{{85}}\\x{{2028}}\\x{{2029}}]*", 0)
+    free = F.when(stored.rlike(f"[{PLACEHOLDERS}]"), F.translate(stored, PLACEHOLDERS, OTHER * len(PLACEHOLDERS))).otherwise(stored)
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("stored")).where(stored.rlike(f"[^{SPACE}]"))
+    split = let(free, lambda text: let(head(text), lambda h: _units(h, F.substring(text, F.length(h) + 1, F.length(text)), stored if with_text else None)))
     out = rows.select("id", F.posexplode(split).alias("unit_no", "u"))
     return out.select(F.col("id").alias(id_col), "unit_no", "u.end_pos", *["u.unit"] * with_text)

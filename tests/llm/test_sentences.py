@@ -9,6 +9,10 @@ CASES = [
     ("en", "T\nSee www.site.example, version 7.12.9.The end came.It fell 3.5 m. Now 12 left", ["T", "See www.site.example, version 7.12.9.", "The end came.", "It fell 3.5 m.", "Now 12 left"]),
     ("en", 'T\n"Keep it shut!" cried Vel, and left. Vel asked, "Who paid?" No one. Its motto, "Work. Wait. Win.", hangs here. (See fig. 8 for it.) Done.', ["T", '"Keep it shut!" cried Vel, and left.', 'Vel asked, "Who paid?"', "No one.", 'Its motto, "Work. Wait. Win.", hangs here.', "(See fig. 8 for it.)", "Done."]),
     ("en", "T\nIt breaks off... and goes on. The atlas says Mel… but not here. “It was old.” The rest is new.", ["T", "It breaks off... and goes on.", "The atlas says Mel… but not here.", "“It was old.”", "The rest is new."]),
+    ("en", "T\nhttps://a.example/Search?Query=1 and www.Example.com/Page.Html for it. Node.Js reads Report.Txt! Write to A.B@site.example. Jan. 5 was cold. It is on www.site.example.The end. See ftp://x.example/a.b?c=D.E", ["T", "https://a.example/Search?Query=1 and www.Example.com/Page.Html for it.", "Node.Js reads Report.Txt!", "Write to A.B@site.example.", "Jan. 5 was cold.", "It is on www.site.example.", "The end.", "See ftp://x.example/a.b?c=D.E"]),
+    ("en", "T \ue0a0\nA \ue0e1 mark and \ue0a0 stay. So does \ue0e0. Yes\ue0e2", ["T \ue0a0", "A \ue0e1 mark and \ue0a0 stay.", "So does \ue0e0.", "Yes\ue0e2"]),
+    ("de", "T\nAm 5. Jan. 1903 kam sie. Am 6. Sept. ging sie. Siehe www.vel.example. Danach nichts.", ["T", "Am 5. Jan. 1903 kam sie.", "Am 6. Sept. ging sie.", "Siehe www.vel.example.", "Danach nichts."]),
+    ("ja", "T\nhttps://a.example/xを見る。次はhttps://b.example/y.html。終", ["T", "https://a.example/xを見る。", "次はhttps://b.example/y.html。", "終"]),
     ("en", "T\n\nHeading\n\nOne line\nwrapped here. Two.\n \nThree", ["T", "Heading", "One line\nwrapped here.", "Two.", "Three"]),
     ("en", " \n\n  Late title \r\nText one.\r\n\r\nText two.\r\n", ["Late title", "Text one.", "Text two."]),
     ("de", "T\nAm 6. Juni 1703 kam Dr. Wen z. B. nach Prag. Auf dem Schild steht: „Bitte schließen.“ Sie wog ca. 1,3 kg. „Schließt die Höhle!“, rief Vel.", ["T", "Am 6. Juni 1703 kam Dr. Wen z. B. nach Prag.", "Auf dem Schild steht: „Bitte schließen.“", "Sie wog ca. 1,3 kg.", "„Schließt die Höhle!“, rief Vel."]),
