@@ -76,16 +76,16 @@ def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(p6_ids(spark, sf_dir), "doc_id")
 
 
-def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items")
-    return leakage.leaked(documents, "doc_id", "text", items, "item_id", "text", "lang").select("doc_id", "item_id")
-
-
 def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items")
     return leakage.leaked(documents, "doc_id", "text", items, "item_id", "text", "lang", max_edits=1)
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the passages within an edit those that are equal."""
+    return p7_near(spark, sf_dir).where("edits = 0").select("doc_id", "item_id")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(read_table(spark, sf_dir, "documents"), "doc_id", "text", with_text=False).select("doc_id", "end_pos")
 
