@@ -8,8 +8,8 @@ A row of the table is a record, also where its id is repeated. Null and empty te
 empty result, and an adjusted score whose variance is 0 (one record, or one term only) is 0.
 
 Plan: terms are counted inside the row, so no shuffle goes by record. The margins of the terms are aggregated (map side
-first), written once, and joined back: terms frequent enough that there can be at most HOT_TERMS of them by a broadcast
-join, the others by a shuffle in which no key has more than 1 / HOT_TERMS of the pairs.
+first), written once, and joined back in one pass over the texts: terms frequent enough that there can be at most HOT_TERMS
+of them by a broadcast join, the others by a shuffle in which no key has more than 1 / HOT_TERMS of the pairs.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.termfreq import all_tokens
-from glyphmill.operators.tables import cut_lineage, run_lengths
+from glyphmill.operators.tables import attach, cut_lineage, run_lengths
 
 #: Bound of the broadcast side: only so many terms can each have that part of all (record, term) pairs.
 HOT_TERMS = 20_000
@@ -36,9 +36,7 @@ def distinctiveness(df: DataFrame, id_col: str, texts: list[str]) -> DataFrame:
     margins = cut_lineage(pairs.groupBy("term").agg(F.sum("tf").alias("column_total"), F.count("*").alias("records")))
     sums = margins.agg(F.sum("column_total").alias("n"), F.sum("records").alias("pairs")).first()
     n, hot_from = float(sums["n"] or 1), (sums["pairs"] or 0) // HOT_TERMS + 1
-    is_hot = F.col("records") >= hot_from
-    hot, cold = F.broadcast(margins.where(is_hot)), margins.where(~is_hot)
-    joined = pairs.join(hot, "term").unionByName(pairs.join(F.broadcast(margins.where(is_hot).select("term")), "term", "left_anti").join(cold, "term"))
+    joined = attach(pairs, margins.withColumn("hot", F.col("records") >= hot_from), "term", "hot")
     expected = F.col("row_total") * F.col("column_total") / F.lit(n)
     spread = (1 - F.col("row_total") / F.lit(n)) * (1 - F.col("column_total") / F.lit(n))
     residual = (F.col("tf") - F.col("expected")) / F.sqrt("expected")

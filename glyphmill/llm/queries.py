@@ -28,7 +28,8 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = distinctive.distinctiveness(read_table(spark, sf_dir, "search_index"), "doc_id", FIELDS)
-    return scored.where((F.col("tf") >= 3) & F.col("records").between(2, 5)).select("doc_id", "term")
+    # A term is found with its score: every term has one, as its expected count is above 0.
+    return scored.where((F.col("tf") >= 3) & F.col("records").between(2, 5) & F.col("adjusted").isNotNull()).select("doc_id", "term")
 
 
 def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

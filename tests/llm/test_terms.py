@@ -97,3 +97,10 @@ def test_own_subject_stands_above_common_words(spark):
 def test_one_record_has_no_variance(spark):
     got = distinctive.distinctiveness(table(spark, [(1, "a b", None, None, None)]), "doc_id", ["title", "body"]).collect()
     assert {(r.term, r.residual, r.adjusted) for r in got} == {("a", 0.0, 0.0), ("b", 0.0, 0.0)}
+
+
+def test_found_terms_are_scored(spark, data):
+    from glyphmill.llm.queries import p2_found
+
+    plan = p2_found(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("sqrt") >= 2
