@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from glyphmill.functions.text import FIRST_SYLLABLE, LAST_SYLLABLE, LOWER, initials
 from glyphmill.operators.index import SearchIndex
 from glyphmill.operators.search import score_batch
+from glyphmill.operators.tables import attach, cut_lineage
 
 WORD = r"[\p{L}\p{N}]+"
 HANGUL = r"\p{IsHangul}"
 SAMPLE = 60
 NEGATIVES = 200
+#: Tokens that can each have that part of all (document, token) pairs; only so many are joined by broadcast.
+HOT_TOKENS = 20_000
 
 
 def neutral_tokens(text: Column) -> Column:
@@ -64,7 +67,7 @@ def _queries(tokens: DataFrame, limit: int) -> DataFrame:
 def recall_precision(index: SearchIndex, corpus: DataFrame) -> DataFrame:
     """queries, recall (of at most 20) and precision over the vocabulary sample."""
     held = truth(corpus)
-    sample = vocabulary_sample(held.groupBy("token").agg(F.count("*").alias("df"))).select("token")
+    sample = cut_lineage(vocabulary_sample(held.groupBy("token").agg(F.count("*").alias("df"))).select("token"))  # used four times
     urls = held.join(F.broadcast(sample), "token").select("token", "url").distinct()  # at most 2 * SAMPLE tokens are broadcast
     sizes = urls.groupBy("token").agg(F.count("*").alias("size"))
     got = score_batch(index.postings, _queries(sample, 20)).select(F.col("query_id").alias("token"), "doc_id")
@@ -78,7 +81,8 @@ def negative_rate(index: SearchIndex, corpus: DataFrame) -> DataFrame:
     """queries, returned and fp_rate over made-up words that no document holds."""
     spark: SparkSession = index.spark
     words = spark.createDataFrame(list(enumerate(negative_tokens())), "i int, token string")
-    absent = words.join(document_frequency(corpus).select("token"), "token", "left_anti").orderBy("i").limit(NEGATIVES)
+    held = truth(corpus).join(F.broadcast(words), "token", "left_semi").select("token").distinct()
+    absent = cut_lineage(words.join(held, "token", "left_anti").orderBy("i").limit(NEGATIVES))
     found = score_batch(index.postings, _queries(absent, 20))
     documents = corpus.count()
     return found.agg(F.count("*").alias("returned")).select(F.lit(NEGATIVES).cast("bigint").alias("queries"), "returned", F.round(F.col("returned") / F.lit(float(NEGATIVES * max(1, documents))), 6).alias("fp_rate"))
@@ -87,13 +91,17 @@ def negative_rate(index: SearchIndex, corpus: DataFrame) -> DataFrame:
 def known_items(corpus: DataFrame) -> DataFrame:
     """doc_id, url and query: the rarest title token of each document, the longer one of equally rare ones."""
     titles = corpus.select("doc_id", F.coalesce("url", F.lit("")).alias("url"), F.explode(F.array_distinct(neutral_tokens(F.coalesce("title", F.lit(""))))).alias("token"))
-    best = titles.where(F.length("token") >= 2).join(document_frequency(corpus), "token")
+    frequency = cut_lineage(document_frequency(corpus))
+    total = frequency.agg(F.sum("df")).first()[0] or 0
+    hot = F.col("df") > F.lit(total // HOT_TOKENS)
+    best = attach(titles.where(F.length("token") >= 2), frequency.withColumn("hot", hot), "token", "hot")
     order = F.struct("df", (-F.length("token")).alias("shorter"), "token")
     return best.groupBy("doc_id", "url").agg(F.min(order).alias("o")).select("doc_id", "url", F.col("o.token").alias("query"))
 
 
 def _found_rank(index: SearchIndex, corpus: DataFrame, items: DataFrame, limit: int) -> DataFrame:
     """items (doc_id, url, query) with the first rank at which their url comes, null if it doesn't."""
+    items = cut_lineage(items)
     asked = items.select(F.col("query").alias("token")).distinct()
     got = score_batch(index.postings, _queries(asked, limit)).select(F.col("query_id").alias("query"), "rank", "doc_id")
     got = got.join(corpus.select("doc_id", F.coalesce("url", F.lit("")).alias("url")), "doc_id").groupBy("query", "url").agg(F.min("rank").alias("rank"))

@@ -16,12 +16,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from glyphmill.operators.index import tier
+from glyphmill.operators.index import FILTER_SCHEMA, tier
 from glyphmill.operators.search import DEFAULT_RESULTS, PROBE_SCHEMA, probes_of, ranked, scores
+from glyphmill.operators.tables import cut_lineage
 
 #: Fingerprint bits of each tier.
 BITS = {"lo": 9, "hi": 16}
@@ -46,11 +48,26 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @F.pandas_udf(LongType())
-def token_key(marked: pd.Series) -> pd.Series:
-    """xxHash64 with seed 0 of a token's UTF-8 bytes, as a signed number."""
+def _hashed(marked: pd.Series) -> pd.Series:
     import xxhash
 
-    return pd.Series(np.array([xxhash.xxh64_intdigest(t.encode()) for t in marked], np.uint64).view(np.int64))
+    codes, distinct = pd.factorize(marked)
+    return pd.Series(np.array([xxhash.xxh64_intdigest(t.encode()) for t in distinct], np.uint64).view(np.int64)[codes])
+
+
+def token_key(marked: Column | str) -> Column:
+    """xxHash64 with seed 0 of a token's UTF-8 bytes, as a signed number: Spark's own expression, which SQL offers with seed 42 only.
+
+    A session without access to the JVM hashes the distinct tokens of each batch in Python instead.
+    """
+    marked = F.col(marked) if isinstance(marked, str) else marked
+    context = SparkContext._active_spark_context
+    if context is None:
+        return _hashed(marked)
+    jvm = context._jvm
+    utils = jvm.org.apache.spark.sql.classic.ExpressionUtils
+    children = jvm.org.apache.spark.api.python.PythonUtils.toSeq([utils.expression(marked._jc)])
+    return Column(utils.column(jvm.org.apache.spark.sql.catalyst.expressions.XxHash64(children, 0)))
 
 
 @F.pandas_udf(LongType())
@@ -184,7 +201,10 @@ def _sharded(keys: DataFrame, shards: int) -> DataFrame:
 
 
 def build_filters(keys: DataFrame) -> DataFrame:
-    """tier, shard, shards, n and blob: the filters of (tier, key) rows, each of about SHARD_KEYS keys at most."""
+    """tier, shard, shards, n and blob: the filters of (tier, key) rows, each of about SHARD_KEYS keys at most, written once.
+
+    The keys are counted first, so rows that are dear to compute should be written before (cut_lineage).
+    """
     shards = max(1, -(-keys.count() // SHARD_KEYS))
 
     def make(key: tuple, rows: pa.Table) -> pa.Table:
@@ -192,12 +212,15 @@ def build_filters(keys: DataFrame) -> DataFrame:
         blob = build(rows.column("key").to_numpy(), BITS[name])
         return pa.table({"tier": [name], "shard": pa.array([shard], pa.int32()), "shards": pa.array([shards], pa.int32()), "n": pa.array([Filter(blob).n], pa.int64()), "blob": pa.array([blob], pa.binary())})
 
-    return _sharded(keys.select("tier", "key"), shards).groupBy("tier", "shard").applyInArrow(make, "tier string, shard int, shards int, n bigint, blob binary")
+    return cut_lineage(_sharded(keys.select("tier", "key"), shards).groupBy("tier", "shard").applyInArrow(make, FILTER_SCHEMA))
 
 
 def probe(keys: DataFrame, filters: DataFrame) -> DataFrame:
-    """The rows of keys (tier, key and others) with `held`: whether the filters hold them. Keys go to their shard; filters aren't gathered."""
-    shards = (filters.agg(F.max("shards")).first() or [1])[0] or 1
+    """The rows of keys (tier, key and others) with `held`: whether the filters hold them. Keys go to their shard; filters aren't gathered.
+
+    The filters must be stored ones, by build_filters or with an index, as the number of shards is read first.
+    """
+    shards = (filters.select("shards").first() or [1])[0]
     columns = keys.columns
 
     def look(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -14,13 +14,15 @@ from glyphmill.config import IndexConfig
 from glyphmill.functions.text import ascii_lower, edge_ngrams, initials_prefixes, tokenize
 from glyphmill.sources.corpus import plain_number
 
-VERSION = 1
+VERSION = 2
 KINDS = ("exact", "prefix", "cho", "title", "title_cho")
 #: Kinds for which the compact filters spend more bits, as a false match there is costlier.
 HIGH_TIER = ("prefix", "title", "title_cho")
 
 #: Documents whose postings of one token are written by one task.
 DOCUMENTS_PER_FILE = 1_000_000
+#: Folders into which the postings of each kind go by a hash of the token, so a lookup opens the files of its folder only.
+TOKEN_BUCKETS = 64
 
 _NONE = "array<string>"
 
@@ -33,6 +35,10 @@ def _no_words() -> Column:
     return F.array().cast(_NONE)
 
 
+def token_bucket(token: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
+
+
 def tier(kind: Column) -> Column:
     return F.when(kind.isin(*HIGH_TIER), "hi").otherwise("lo")
 
@@ -108,11 +114,35 @@ def can_hold(corpus: DataFrame, config: IndexConfig, kinds: set[str], tokens: se
     return out
 
 
+ABOUT_SCHEMA = "version int, buckets int, metadata_fields array<string>, filters boolean"
+STORED_SCHEMA = "doc_id bigint, token string, kind string, bucket int"
+DOCUMENT_SCHEMA = "doc_id bigint, title string, url string, meta map<string,string>"
+FILTER_SCHEMA = "tier string, shard int, shards int, n bigint, blob binary"
+
+
+def write_postings(postings_: DataFrame, path: str) -> None:
+    """Postings in folders by kind and bucket of the token, sorted by token in each file, with a bloom filter on it.
+
+    They go to tasks by bucket and document range: a lookup finds its folder by hash, and a token held by most documents is
+    spread over several tasks.
+    """
+    placed = postings_.withColumn("bucket", token_bucket(F.col("token"), TOKEN_BUCKETS))
+    spread = placed.repartition("bucket", F.floor(F.col("doc_id") / DOCUMENTS_PER_FILE)).sortWithinPartitions("kind", "bucket", "token", "doc_id")
+    spread.write.mode("overwrite").partitionBy("kind", "bucket").option("parquet.bloom.filter.enabled#token", "true").parquet(path)
+
+
+def describe(spark: SparkSession, path: str, metadata_fields: tuple[str, ...], filters: bool = False) -> None:
+    """Write the description of a stored index, which makes it one."""
+    about = spark.createDataFrame([(VERSION, TOKEN_BUCKETS, list(metadata_fields), filters)], ABOUT_SCHEMA)
+    about.coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+
 class SearchIndex:
     """Postings and documents of a corpus, in memory as plans or on disk as Parquet."""
 
-    def __init__(self, documents: DataFrame, postings: DataFrame, metadata_fields: tuple[str, ...] = (), source: tuple[DataFrame, IndexConfig] | None = None) -> None:
+    def __init__(self, documents: DataFrame, postings: DataFrame, metadata_fields: tuple[str, ...] = (), source: tuple[DataFrame, IndexConfig] | None = None, stored: DataFrame | None = None, buckets: int = 0, filters: DataFrame | None = None) -> None:
         self.documents, self.postings, self.metadata_fields, self.source = documents, postings, tuple(metadata_fields), source
+        self.stored, self.buckets, self.filters = stored, buckets, filters
 
     @property
     def spark(self) -> SparkSession:
@@ -132,14 +162,32 @@ class SearchIndex:
         return self.postings.where(F.col("kind").isin(*(k for k in KINDS if (k in HIGH_TIER) == (name == "hi"))))
 
     def cache(self) -> SearchIndex:
+        """Keep the postings in memory from the first search on."""
         self.postings.cache()
-        self.source = None
+        self.source = self.stored = None
         return self
 
+    def filter(self, name: str) -> DataFrame:
+        """Stored compact filters of a tier (shard, shards, n, blob); IndexError_ if the index has none."""
+        if self.filters is None:
+            raise IndexError_("the index was saved without filters")
+        return self.filters.where(F.col("tier") == name).drop("tier")
+
+    def filter_search(self, query: str | None, max_results: int = 0) -> DataFrame:
+        """rank, doc_id, hits, title_hits by the stored filters alone; IndexError_ if the index has none."""
+        from glyphmill.operators.fuse import filter_search
+
+        if self.filters is None:
+            raise IndexError_("the index was saved without filters")
+        return filter_search(self.documents, self.filters, query, max_results)
+
     def postings_for(self, kinds: set[str], tokens: set[str]) -> DataFrame:
         """Postings of these kinds and tokens. Of a corpus that isn't stored as an index, only texts that can hold one are tokenized."""
         postings_ = self.postings
-        if self.source:
+        if self.stored is not None:
+            folders = self.spark.range(1).select(F.array_distinct(F.array(*(token_bucket(F.lit(t), self.buckets) for t in sorted(tokens))))).first()[0] if tokens else []
+            postings_ = self.stored.where(F.col("bucket").isin(*folders)).select("doc_id", "kind", "token")
+        elif self.source:
             corpus, config = self.source
             postings_ = postings(corpus.where(can_hold(corpus, config, kinds, tokens)), config)
         return postings_.where(F.col("kind").isin(*kinds) & F.col("token").isin(*tokens))
@@ -160,31 +208,32 @@ class SearchIndex:
 
         return search_batch(self, queries)
 
-    def save(self, path: str) -> None:
-        """Write documents, postings by kind and sorted by token with a bloom filter on it, and the description.
-
-        Postings go to files by kind, token and document range: no sampling pass as for ranges of tokens, and a token held
-        by most documents is spread over several tasks.
-        """
+    def save(self, path: str, filters: bool = False) -> None:
+        """Write documents, postings, the description and, if asked for, the compact filters of all postings."""
         self.documents.write.mode("overwrite").parquet(f"{path}/documents")
-        spread = self.postings.repartition("kind", "token", F.floor(F.col("doc_id") / DOCUMENTS_PER_FILE)).sortWithinPartitions("kind", "token", "doc_id")
-        spread.write.mode("overwrite").partitionBy("kind").option("parquet.bloom.filter.enabled#token", "true").parquet(f"{path}/postings")
-        about = self.spark.createDataFrame([(VERSION, self.document_count, list(self.metadata_fields))], "version int, documents bigint, metadata_fields array<string>")
-        about.coalesce(1).write.mode("overwrite").json(f"{path}/about")
+        write_postings(self.postings, f"{path}/postings")
+        if filters:
+            from glyphmill.operators.fuse import build_filters, pair_keys
+
+            written = self.spark.read.schema(STORED_SCHEMA).parquet(f"{path}/postings")
+            build_filters(pair_keys(written).select("tier", "key")).write.mode("overwrite").parquet(f"{path}/filters")
+        describe(self.spark, path, self.metadata_fields, filters)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> SearchIndex:
         """Open a stored index; IndexError_ if there is none or it is of another version."""
         try:
-            about = spark.read.schema("version int, documents bigint, metadata_fields array<string>").json(f"{path}/about").first()
+            about = spark.read.schema(ABOUT_SCHEMA).json(f"{path}/about").first()
         except Exception as e:
             raise IndexError_(f"{path}: no index") from e
         if about is None or about["version"] is None:
             raise IndexError_(f"{path}: its description cannot be read")
         if about["version"] != VERSION:
             raise IndexError_(f"{path}: version {about['version']} instead of {VERSION}")
-        postings_ = spark.read.schema("doc_id bigint, token string, kind string").parquet(f"{path}/postings").select("doc_id", "kind", "token")
-        return cls(spark.read.parquet(f"{path}/documents"), postings_, tuple(about["metadata_fields"] or ()))
+        stored = spark.read.schema(STORED_SCHEMA).parquet(f"{path}/postings")
+        documents = spark.read.schema(DOCUMENT_SCHEMA).parquet(f"{path}/documents")
+        filters = spark.read.schema(FILTER_SCHEMA).parquet(f"{path}/filters") if about["filters"] else None
+        return cls(documents, stored.select("doc_id", "kind", "token"), tuple(about["metadata_fields"] or ()), None, stored, about["buckets"], filters)
 
 
 def build_index(corpus: DataFrame, config: IndexConfig | None = None) -> SearchIndex:

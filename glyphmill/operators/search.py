@@ -20,6 +20,8 @@ MAX_TOKENS = 16
 DEFAULT_RESULTS = 20
 #: Probe rows up to which the probe side is broadcast; a larger batch is joined by shuffle.
 BROADCAST_PROBES = 500_000
+#: Shares of a token's postings in that join, by document, so a word of most documents is no single task.
+SALTS = 32
 
 _PY_PATTERN = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", TOKEN_PATTERN))
 _LOWER = str.maketrans(UPPER, LOWER)
@@ -90,7 +92,12 @@ def score_batch(postings: DataFrame, queries: DataFrame) -> DataFrame:
     probes = probe_table(queries)
     facts = queries.agg(F.count("*").alias("n"), F.max("max_results").alias("most")).first()
     few = facts["n"] * (2 * MAX_TOKENS + 1) <= BROADCAST_PROBES
-    scored = scores(postings.join(F.broadcast(probes) if few else probes, ["kind", "token"]), ["query_id", "doc_id"])
+    if few:
+        met = postings.join(F.broadcast(probes), ["kind", "token"])
+    else:
+        shared = probes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = postings.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(shared, ["kind", "token", "salt"])
+    scored = scores(met, ["query_id", "doc_id"])
     wanted = queries.select("query_id", F.when(F.col("max_results") > 0, F.col("max_results")).otherwise(DEFAULT_RESULTS).alias("wanted"))
     placed = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*_order())))
     placed = placed.where(F.col("rank") <= max(facts["most"] or 0, DEFAULT_RESULTS))  # a literal bound lets partial ranking drop rows early

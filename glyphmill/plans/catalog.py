@@ -10,7 +10,7 @@ from glyphmill.functions import text
 from glyphmill.operators import evaluate, fuse
 from glyphmill.operators.index import SearchIndex, build_index, postings, pretokenized_postings, tier, words
 from glyphmill.operators.search import probe_table
-from glyphmill.operators.tables import read_table
+from glyphmill.operators.tables import cut_lineage, read_table
 from glyphmill.plans import oracle as o
 from glyphmill.sources.stopwords import DEFAULT_STOPWORDS, parse_lines
 
@@ -166,7 +166,17 @@ def stored_by_path(spark, sf_dir):
     return build_index(corpus(spark, sf_dir), BY_PATH).documents.select("doc_id", "title", "url")
 
 
-@query()
+# Lists and switches of a raw configuration, by SQL over its JSON.
+_LIST = "CASE WHEN json_type(j, '$.schema.{0}') = 'ARRAY' THEN array_to_string(list_transform(json_extract(j, '$.schema.{0}[*]'), lambda x: CASE WHEN json_type(x) = 'VARCHAR' THEN x->>'$' ELSE '' END), ',') ELSE '{1}' END"
+_CONFIGS = f"""WITH c AS (SELECT config_id, CASE WHEN json_valid(config_json) THEN config_json::JSON END AS j FROM index_config),
+s AS (SELECT config_id, j, {_LIST.format('indexed_fields', 'title')} AS indexed, {_LIST.format('metadata_fields', '')} AS metadata, {_LIST.format('prefix_fields', 'title')} AS prefix,
+  CASE WHEN json_type(j, '$.schema.url_field') = 'VARCHAR' THEN j->>'$.schema.url_field' ELSE 'url' END AS url_field,
+  CASE WHEN json_type(j, '$.korean.choseong_max_len') IN ('UBIGINT', 'BIGINT') THEN (j->>'$.korean.choseong_max_len')::INTEGER WHEN (j->>'$.korean.choseong_search') = 'false' THEN 0 ELSE 3 END AS initials_max_len FROM c),
+e AS (SELECT *, CASE WHEN j IS NULL THEN 'ConfigError' WHEN NOT list_has_all(string_split(indexed, ','), string_split(prefix, ',')) THEN 'PrefixFieldNotIndexed' END AS error FROM s)
+SELECT config_id, error, {', '.join(f"CASE WHEN error IS NULL THEN {c} END AS {c}" for c in ('indexed', 'metadata', 'prefix', 'url_field', 'initials_max_len'))} FROM e"""
+
+
+@query(_CONFIGS)
 def config_settings(spark, sf_dir):
     """What each raw configuration sets, or why it cannot be used."""
     rows = []
@@ -357,7 +367,14 @@ def filter_keys(spark, sf_dir):
     return fuse.filter_statistics(postings(corpus(spark, sf_dir), BOTH)).select("tier", "keys")
 
 
-@query()
+_SLOTS = "((greatest(1, ceil(round(keys * greatest(1.125, 0.875 + 0.25 * ln(1e6) / ln(keys))) / seg) - 2) + 2) * seg)"
+
+
+@query(
+    f"""WITH {o.words()}, {o.postings()}, n AS (SELECT CASE WHEN kind IN ('exact', 'cho') THEN 'lo' ELSE 'hi' END AS tier, count(*) AS keys FROM post GROUP BY ALL),
+s AS (SELECT *, least(262144, 2 ** floor(ln(keys) / ln(3.33) + 2.25)) AS seg FROM n)
+SELECT tier, keys, (24 + ceil({_SLOTS} * CASE WHEN tier = 'lo' THEN 9 ELSE 16 END / 8))::BIGINT AS bytes FROM s"""
+)
 def filter_sizes(spark, sf_dir):
     return fuse.filter_statistics(postings(corpus(spark, sf_dir), BOTH))
 
@@ -365,13 +382,26 @@ def filter_sizes(spark, sf_dir):
 @query(f"WITH {o.words()}, {o.postings()} SELECT CASE WHEN kind IN ('exact', 'cho') THEN 'lo' ELSE 'hi' END AS tier, true AS held, count(*) AS n FROM post GROUP BY ALL")
 def filter_membership(spark, sf_dir):
     """Every stored posting is held by its filter."""
-    keys = fuse.pair_keys(postings(corpus(spark, sf_dir), BOTH)).select("tier", "key")
+    keys = cut_lineage(fuse.pair_keys(postings(corpus(spark, sf_dir), BOTH)).select("tier", "key"))
     return fuse.probe(keys, fuse.build_filters(keys)).groupBy("tier", "held").agg(F.count("*").alias("n"))
 
 
+def _filtered(spark, sf_dir, limit):
+    index = build_index(corpus(spark, sf_dir), BOTH)
+    filters = fuse.build_filters(cut_lineage(fuse.pair_keys(index.postings).select("tier", "key")))
+    return index, fuse.filter_search(index.documents, filters, "bridge known Vel", limit)
+
+
 @query()
 def filter_search(spark, sf_dir):
     """The best documents by the filters alone."""
-    index = build_index(corpus(spark, sf_dir), BOTH)
-    filters = fuse.build_filters(fuse.pair_keys(index.postings).select("tier", "key"))
-    return fuse.filter_search(index.documents, filters, "bridge known Vel", 50)
+    return _filtered(spark, sf_dir, 50)[1]
+
+
+@query(o.search(o.one("bridge known Vel", 1_000_000), "SELECT doc_id, hits, title_hits FROM best"))
+def filter_search_covers(spark, sf_dir):
+    """The exact results that the search by filters has too, with as many hits or more: all of them."""
+    index, found = _filtered(spark, sf_dir, 1_000_000)
+    exact = index.search("bridge known Vel", 1_000_000).select("doc_id", "hits", "title_hits")
+    more = found.select("doc_id", F.col("hits").alias("more"), F.col("title_hits").alias("more_titles"))
+    return exact.join(more, "doc_id").where("more >= hits AND more_titles >= title_hits").select("doc_id", "hits", "title_hits")

@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
-from glyphmill.functions.text import GROUPS, INITIALS, LOWER, TOKEN_PATTERN, UPPER
 from glyphmill.sources.stopwords import DEFAULT_STOPWORDS
 
+# Fixed values, written for RE2 and apart from the operators': letters, initial consonants, and the script groups with the marks that join them.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+INITIALS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
+GROUPS = {
+    "latin": "A-Za-zÀ-ÖØ-öø-ʯḀ-ỿ",
+    "hangul": "가-힣ᄀ-ᇿ\u3130-\u318f\uffa0-\uffdc",
+    "han": "一-\u9fff㐀-䶿\uf900-\ufaff\U00020000-\U0002ffff",
+    "hiragana": "\u3040-ゟ",
+    "katakana": "゠-ヿㇰ-ㇿ･-ﾟ",
+    "number": "0-9０-９",
+}
+MARKS = "\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f"
+TOKEN_PATTERN = "|".join(f"[{body}][{body}{MARKS}]*" for body in GROUPS.values())
+
 
 def tok(x: str) -> str:
     return f"regexp_extract_all(translate({x}, '{UPPER}', '{LOWER}'), '{TOKEN_PATTERN}')"

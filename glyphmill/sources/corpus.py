@@ -61,24 +61,29 @@ def from_json_array(spark: SparkSession, path: str, texts: list[str], metadata:
 
 
 def from_json_lines(spark: SparkSession, path: str, texts: list[str], metadata: list[str] = ()) -> DataFrame:
-    """Corpus of files with one JSON object a line; doc_id follows the order of files and lines."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    return _fields(with_doc_id(lines).select("doc_id", F.parse_json("value").alias("value")), list(texts), list(metadata))
+    """Corpus of files with one JSON object a line; doc_id follows the order of the files' paths and of the lines in them.
+
+    Spark packs parts of files by size, so the lines are written once and numbered by path, place of the part, and line.
+    """
+    columns = (F.col("_metadata.file_path").alias("_gm_file"), F.col("_metadata.file_block_start").alias("_gm_start"))
+    lines = cut_lineage(spark.read.text(path).select("value", *columns).where(F.trim("value") != "").withColumn("_gm_line", F.monotonically_increasing_id()))
+    order = ["_gm_file", "_gm_start", "_gm_line"]
+    return _fields(with_doc_id(lines, order).select("doc_id", F.parse_json("value").alias("value")), list(texts), list(metadata))
 
 
 def with_doc_id(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """df with a dense doc_id from 0: in the order of the columns, or of its partitions.
 
     Rows are numbered inside their partition and shifted by the rows of the partitions before it, so no task holds more
-    than its own partition; the table of shifts has one row for each partition. A sorted order is written once, as sorting
-    again could cut its partitions elsewhere.
+    than its own partition; the table of shifts has one row for each partition. The numbered rows are written once, as
+    computing them again could cut the partitions elsewhere.
     """
     from pyspark.sql import Window
 
     ordered = df.orderBy(*order_by) if order_by else df
     columns = df.columns
     numbered = ordered.withColumn("_gm_id", F.monotonically_increasing_id())
-    numbered = cut_lineage(numbered) if order_by else numbered
+    numbered = cut_lineage(numbered)
     part, row = F.shiftright("_gm_id", 33).cast("int"), F.col("_gm_id").bitwiseAND(F.lit((1 << 33) - 1))
     counts = numbered.groupBy(part.alias("_gm_part")).agg(F.count("*").alias("n"))
     shift = F.sum("n").over(Window.orderBy("_gm_part").rowsBetween(Window.unboundedPreceding, -1))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from glyphmill.config import IndexConfig
-from glyphmill.operators.index import postings, stored_documents
+from glyphmill.operators.index import describe, postings, stored_documents, write_postings
 
 
 def postings_stream(corpus: DataFrame, config: IndexConfig) -> DataFrame:
@@ -19,12 +19,16 @@ def postings_stream(corpus: DataFrame, config: IndexConfig) -> DataFrame:
 
 
 def append_index(corpus: DataFrame, config: IndexConfig, path: str, checkpoint: str) -> StreamingQuery:
-    """Append each micro-batch to the index tables at `path`; a batch written twice after a failure replaces itself."""
+    """Append each micro-batch to the index at `path`; a batch written twice after a failure replaces itself.
+
+    The batches lie beside each other as folders of the same layout as a saved index has, so SearchIndex.load opens them.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
         stored_documents(batch, config).write.mode("overwrite").parquet(f"{path}/documents/batch={number}")
-        postings(batch, config).write.mode("overwrite").partitionBy("kind").parquet(f"{path}/postings/batch={number}")
+        write_postings(postings(batch, config), f"{path}/postings/batch={number}")
+        describe(batch.sparkSession, path, config.metadata_fields)
         batch.unpersist()
 
     return corpus.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

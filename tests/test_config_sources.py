@@ -112,6 +112,15 @@ def test_json_lines(spark, tmp_path):
     assert [tuple(r) for r in got] == [(0, "A", "12"), (1, None, "12"), (2, None, "")]
 
 
+def test_json_lines_of_unequal_files(spark, tmp_path):
+    sizes = {"a.jsonl": 3, "b.jsonl": 400, "c.jsonl": 1, "d.jsonl": 90}
+    names = [f"{f}{i}" for f, n in sizes.items() for i in range(n)]
+    for f, n in sizes.items():
+        (tmp_path / f).write_text("\n".join(json.dumps({"title": f"{f}{i}", "body": "x" * 50}) for i in range(n)))
+    got = corpus.from_json_lines(spark, str(tmp_path), ["title"]).orderBy("doc_id").collect()
+    assert [r.title for r in got] == names and [r.doc_id for r in got] == list(range(len(names)))
+
+
 def test_dense_ids(spark):
     df = spark.range(0, 1000, 1, 7).selectExpr("1000 - id AS k").where("k % 3 <> 0")
     got = corpus.with_doc_id(df, ["k"]).orderBy("doc_id").collect()

@@ -96,8 +96,23 @@ def test_save_and_load(spark, small, tmp_path):
     assert found(again, "hello world") == EXPECTED["hello world"]
     assert again.metadata_fields == ("author", "date") and again.document_count == 5
     assert sorted(map(tuple, again.postings.collect())) == sorted(map(tuple, small.postings.collect()))
-    plan = again.postings.where("kind = 'exact' AND token = 'hello'")._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(kind" in plan and "EqualTo(token,hello)" in plan
+    plan = again.postings_for({"exact"}, {"hello"})._jdf.queryExecution().toString()
+    pruned = plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "bucket" in pruned and "kind" in pruned and "EqualTo(token,hello)" in plan
+    opened = again.stored.where("kind = 'exact'").where(F.col("bucket") == I.token_bucket(F.lit("hello"), again.buckets))
+    assert {r.token for r in opened.collect()} >= {"hello"} and opened.count() < again.stored.where("kind = 'exact'").count()
+    with pytest.raises(I.IndexError_):
+        again.filter("lo")
+
+
+def test_stored_filters(spark, small, tmp_path):
+    path = str(tmp_path / "index")
+    small.save(path, filters=True)
+    again = I.SearchIndex.load(spark, path)
+    assert again.filter("lo").first().n == small.tier("lo").count() and again.filter("hi").first().n == small.tier("hi").count()
+    for query in ("hello world", "progr", "ㅇㄴ", ""):
+        got = {(r.doc_id, r.hits, r.title_hits) for r in again.filter_search(query).collect()}
+        assert {r.doc_id for r in small.search(query).collect()} <= {g[0] for g in got}
 
 
 def test_unstored_corpus_is_narrowed(spark):
@@ -171,9 +186,11 @@ def test_streaming(spark, tmp_path):
     append_index(stream, CONFIG, out, str(tmp_path / "cp")).awaitTermination(120)
     spark.createDataFrame(SMALL_CORPUS[3:], SCHEMA).write.mode("append").parquet(source)
     append_index(stream, CONFIG, out, str(tmp_path / "cp")).awaitTermination(120)
-    index = I.SearchIndex(spark.read.parquet(f"{out}/documents"), spark.read.parquet(f"{out}/postings").select("doc_id", "kind", "token"))
-    assert found(index, "hello world") == EXPECTED["hello world"]
-    assert index.documents.agg(F.countDistinct("batch")).first()[0] == 2
+    index = I.SearchIndex.load(spark, out)
+    for query in ("hello world", "quern", "ㅇㄴ"):
+        assert found(index, query) == found(I.build_index(spark.createDataFrame(SMALL_CORPUS, SCHEMA), CONFIG), query)
+    assert index.metadata_fields == ("author", "date") and index.document_count == 5
+    assert spark.read.parquet(f"{out}/documents").agg(F.countDistinct("batch")).first()[0] == 2
 
 
 def test_command_line(spark, tmp_path, capsys):
