@@ -1,9 +1,8 @@
-"""DuckDB SQL for those queries of this subpackage that SQL can express, written without the operators' methods."""
+"""DuckDB SQL for those queries of this subpackage that SQL can express, written without the operators' methods and values."""
 
 from __future__ import annotations
 
-from glyphmill.functions.text import LOWER, TOKEN_PATTERN, UPPER
-from glyphmill.llm.canon import canonical_sql
+from glyphmill.plans.oracle import LOWER, TOKEN_PATTERN, UPPER
 
 TOKENS = f"""tokens AS (
   SELECT doc_id, unnest(regexp_extract_all(translate(t, '{UPPER}', '{LOWER}'), '{TOKEN_PATTERN}')) AS term
@@ -23,8 +22,41 @@ JOINED_EMOJI = r"[\x{2190}-\x{2BFF}\x{1F000}-\x{1FAFF}]\x{FE0F}?\x{200D}"
 
 
 
+# Half-width kana and their ordinary forms, and look-alikes with their Latin letters.
+HALF_KANA = ("ｦｧｨｩｪｫｬｭｮｯｰｱｲｳｴｵｶｷｸｹｺｻｼｽｾｿﾀﾁﾂﾃﾄﾅﾆﾇﾈﾉﾊﾋﾌﾍﾎﾏﾐﾑﾒﾓﾔﾕﾖﾗﾘﾙﾚﾛﾜﾝﾞﾟ", "ヲァィゥェォャュョッーアイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワン\u3099\u309a")
+CYRILLIC, CYRILLIC_AS_LATIN = "АВЕКМНОРСТУХЅІЈԚԜаеорсухѕіјһԁԛԝ", "ABEKMHOPCTYXSIJQWaeopcyxsijhdqw"
+GREEK, GREEK_AS_LATIN = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορ", "ABEZHIKMNOPTYXavop"
+SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+HIDDEN = r"[\x{AD}\x{61C}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FEFF}\x{FFF9}-\x{FFFB}\x{1D173}-\x{1D17A}\x{E0001}\x{E0020}-\x{E007F}]"
+PICTURE = r"[\x{A9}\x{AE}\x{203C}-\x{2BFF}\x{3030}\x{303D}\x{3297}\x{3299}\x{1F000}-\x{1FAFF}]"
+WIDE = "".join(chr(c) for r in ((0xFF10, 0xFF1A), (0xFF21, 0xFF3B), (0xFF41, 0xFF5B)) for c in range(*r))
+
+
+def bound(value: str, name: str, body: str) -> str:
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def consistent(x: str) -> str:
+    """The consistent form of a text: joiners between pictures set aside, hidden characters deleted, characters exchanged, composed, and mixed words put into one script."""
+    join = f"regexp_replace(@, '({PICTURE}[\\x{{FE0F}}\\x{{20E3}}\\x{{1F3FB}}-\\x{{1F3FF}}]*)\\x{{200D}}({PICTURE})', '\\1' || chr(61439) || '\\2', 'g')"
+    shown = f"replace(regexp_replace({join.replace('@', join.replace('@', x))}, '{HIDDEN}', '', 'g'), chr(61439), chr(8205))"
+    plain = "".join(chr(ord(c) - 0xFEE0) for c in WIDE)
+    exchanged = f"nfc_normalize(translate({shown}, '{WIDE}{HALF_KANA[0]}{SPACES}', '{plain}{HALF_KANA[1]}{' ' * len(SPACES)}'))"
+    has = lambda w, script, but="": f"len(list_filter(string_split({w}, ''), lambda c: regexp_matches(c, '\\p{{{script}}}') AND NOT contains('{but}', c))) > 0"
+    number = lambda v, script: f"len(list_filter(string_split({v}, ''), lambda c: regexp_matches(c, '\\p{{{script}}}')))"
+    latin = f"translate(w, '{CYRILLIC}{GREEK}', '{CYRILLIC_AS_LATIN}{GREEK_AS_LATIN}')"
+    cyrillic, greek = f"translate(w, '{CYRILLIC_AS_LATIN}', '{CYRILLIC}')", f"translate(w, '{GREEK_AS_LATIN}', '{GREEK}')"
+    word = f"""CASE WHEN NOT ({has('w', 'Latin')} AND ({has('w', 'Cyrillic')} OR {has('w', 'Greek')})) THEN w
+      WHEN {has('w', 'Latin', CYRILLIC_AS_LATIN + GREEK_AS_LATIN)} THEN {latin} WHEN {has('w', 'Cyrillic', CYRILLIC)} THEN {cyrillic} WHEN {has('w', 'Greek', GREEK)} THEN {greek}
+      WHEN {number('v', 'Cyrillic')} > {number('v', 'Latin')} THEN {cyrillic} WHEN {number('v', 'Greek')} > {number('v', 'Latin')} THEN {greek} ELSE {latin} END"""
+    one = "[\\p{Latin}\\p{Cyrillic}\\p{Greek}\\p{M}]+|[^\\p{Latin}\\p{Cyrillic}\\p{Greek}\\p{M}]+"
+    # Words are looked at only where a text holds letters of both sorts; the others are themselves.
+    both = "regexp_matches(v, '\\p{Latin}') AND regexp_matches(v, '[\\p{Cyrillic}\\p{Greek}]')"
+    return bound(exchanged, "v", f"CASE WHEN {both} THEN array_to_string(list_transform(regexp_extract_all(v, '{one}'), lambda w: {word}), '') ELSE v END")
+
+
 def canonical_of(source: str, texts: list[str], keep: list[str]) -> str:
-    return canonical_sql(texts, keep, False).replace("FROM batch", f"FROM ({source})")
+    return f"SELECT {', '.join(keep)}, {', '.join(f'{consistent(t)} AS {t}' for t in texts)} FROM ({source})"
 
 
 def letters(x: str) -> str:
