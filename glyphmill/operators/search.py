@@ -18,7 +18,8 @@ from glyphmill.functions.text import INITIALS, LOWER, NGRAM_MAX, NGRAM_MIN, TOKE
 
 MAX_TOKENS = 16
 DEFAULT_RESULTS = 20
-#: Probe rows up to which the probe side is broadcast; a larger batch is joined by shuffle.
+#: Probe rows up to which the probe side is broadcast; a larger batch is joined by shuffle, and by merging: Spark would else
+#: broadcast it by the size of the queries, of which each is up to (2 * MAX_TOKENS + 1) * SALTS probe rows.
 BROADCAST_PROBES = 500_000
 #: Shares of a token's postings in that join, by document, so a word of most documents is no single task.
 SALTS = 32
@@ -96,12 +97,12 @@ def score_batch(postings: DataFrame, queries: DataFrame) -> DataFrame:
         met = postings.join(F.broadcast(probes), ["kind", "token"])
     else:
         shared = probes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = postings.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(shared, ["kind", "token", "salt"])
+        met = postings.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(shared.hint("merge"), ["kind", "token", "salt"])
     scored = scores(met, ["query_id", "doc_id"])
     wanted = queries.select("query_id", F.when(F.col("max_results") > 0, F.col("max_results")).otherwise(DEFAULT_RESULTS).alias("wanted"))
     placed = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*_order())))
     placed = placed.where(F.col("rank") <= max(facts["most"] or 0, DEFAULT_RESULTS))  # a literal bound lets partial ranking drop rows early
-    kept = placed.join(F.broadcast(wanted) if few else wanted, "query_id").where("rank <= wanted")
+    kept = placed.join(F.broadcast(wanted) if few else wanted.hint("merge"), "query_id").where("rank <= wanted")
     return kept.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "hits", "title_hits")
 
 

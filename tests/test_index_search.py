@@ -72,6 +72,14 @@ def test_batch_without_broadcast(spark, small, monkeypatch):
     assert [(r.doc_id, r.hits) for r in got.orderBy("rank").collect()] == [(0, 2), (3, 2)]
 
 
+def test_large_batch_is_never_broadcast(spark, small, monkeypatch):
+    monkeypatch.setattr("glyphmill.operators.search.BROADCAST_PROBES", 0)
+    queries = spark.createDataFrame([(1, "hello world", 0), (2, "progr", 3)], "query_id int, query string, max_results int").repartition(2, "query").distinct()
+    got = score_batch(small.postings, queries)
+    rows, plan = got.collect(), got._jdf.queryExecution().executedPlan().toString()  # as it ran, with its sizes known
+    assert rows and "BroadcastExchange" not in plan and "BroadcastHashJoin" not in plan
+
+
 def test_stored_fields(small):
     assert small.document_count == 5
     assert small.metadata_fields == ("author", "date")
